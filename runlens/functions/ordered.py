@@ -34,9 +34,11 @@ def running(
     order: str,
     sums: list[str] = (),
     mins: list[str] = (),
+    nexts: list[str] = (),
     by: str | None = None,
 ) -> DataFrame:
-    """Add ``cum_<c>`` (inclusive sum) and ``prior_min_<c>`` (minimum of earlier rows).
+    """Add ``cum_<c>`` (inclusive sum), ``prior_min_<c>`` (minimum of earlier rows) and
+    ``next_<c>`` (value of the following row).
 
     ``order`` must be numeric and distinct within its group, so pre-aggregate on it.
     """
@@ -47,24 +49,29 @@ def running(
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
 
     totals = ranged.groupBy(*group, "_range").agg(
-        *[F.sum(c).alias(f"_t_{c}") for c in sums], *[F.min(c).alias(f"_m_{c}") for c in mins]
+        *[F.sum(c).alias(f"_t_{c}") for c in sums],
+        *[F.min(c).alias(f"_m_{c}") for c in mins],
+        *[F.min_by(c, order).alias(f"_n_{c}") for c in nexts],
     )
     # At most BUCKETS rows per group: a plain window is bounded here.
-    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    ranges = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range")
+    earlier = ranges.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *group,
         "_range",
         *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_t_{c}") for c in sums],
         *[F.min(f"_m_{c}").over(earlier).alias(f"_m_{c}") for c in mins],
+        *[F.lead(f"_n_{c}").over(ranges).alias(f"_n_{c}") for c in nexts],
     )
     out = ranged.join(F.broadcast(offsets), [*group, "_range"])
     for c in sums:
         out = out.withColumn(f"cum_{c}", F.sum(c).over(upto) + F.col(f"_t_{c}"))
     for c in mins:
         out = out.withColumn(f"prior_min_{c}", F.least(F.min(c).over(before), F.col(f"_m_{c}")))
-    return out.drop("_range", *[f"_t_{c}" for c in sums], *[f"_m_{c}" for c in mins])
+    for c in nexts:
+        out = out.withColumn(f"next_{c}", F.coalesce(F.lead(c).over(inside), F.col(f"_n_{c}")))
+    spare = [f"_t_{c}" for c in sums] + [f"_m_{c}" for c in mins] + [f"_n_{c}" for c in nexts]
+    return out.drop("_range", *spare)
 
 
 def exact_quantiles(long: DataFrame, probs: list[float], value: str = "value") -> DataFrame:
@@ -103,15 +110,20 @@ def exact_quantiles(long: DataFrame, probs: list[float], value: str = "value") -
     return found.select("field", "n", *cols)
 
 
+def shuffle_key(key: str, seed: int) -> Column:
+    """Seeded hash that puts rows in a repeatable random order."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
 def exact_share(df: DataFrame, key: str, share: float, seed: int, by: str) -> DataFrame:
     """Add boolean ``picked``: exactly ``round(share * n)`` rows of every ``by`` level.
 
-    Rows are taken in hash order of ``key``. A 64-bit hash is uniform, so fixed-width hash
-    ranges are balanced: only the one range in which a level's cut falls is ordered, and all
-    rows are then compared with the cut. ``by`` has few levels (a verdict).
+    Rows are taken in hash order of ``key``. The hash is uniform, so fixed-width hash ranges
+    are balanced: only the one range in which a level's cut falls is ordered, and all rows
+    are then compared with the cut. ``by`` has few levels (a verdict).
     """
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key).cast("string")))
-    slim = hashed.select(by, "_h", F.col(key).alias("_k"), F.shiftright("_h", 48).alias("_range"))
+    hashed = df.withColumn("_h", shuffle_key(key, seed))
+    slim = hashed.select(by, "_h", F.col(key).alias("_k"), F.substring("_h", 1, 4).alias("_range"))
     level = Window.partitionBy(by)
     upto = level.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     sizes = slim.groupBy(by, "_range").agg(F.count("*").alias("_size"))

@@ -19,6 +19,7 @@ def local_session(cpus: int | str = "*", app: str = "runlens", memory: str = "12
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
