@@ -1,3 +1,11 @@
 """runlens: Spark operators for analysing corpora of verification runs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few Python functions that run inside tasks travel with the job, so executors need
+# no installation of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -59,11 +59,11 @@ def mark_frontier(configs: DataFrame) -> DataFrame:
     ).drop("_on")
 
 
-def report_points(marked: DataFrame, digits: int = 2) -> DataFrame:
+def report_points(marked: DataFrame, digits: int = 2, rate_digits: int = 4) -> DataFrame:
     """Rounded values as shown in a report; ``digits`` is for throughput and time."""
     return marked.select(
         "signature", "config", F.round("throughput", digits).alias("throughput_mbps"),
-        F.round("risk", 4).alias("predicted_risk"), F.round("observed_fail_rate", 4).alias("observed_fail_rate"),
+        F.round("risk", rate_digits).alias("predicted_risk"), F.round("observed_fail_rate", rate_digits).alias("observed_fail_rate"),
         F.round("exec_ms", digits).alias("execution_time_ms"), "n_runs", "is_pareto",
     )
 

@@ -100,14 +100,14 @@ cfg AS (SELECT concat_ws('|', test_name, priority, month, year) AS signature, av
   avg(execution_time_ms) AS exec_ms, avg(CAST({FAIL} AS DOUBLE)) AS observed, count(*) AS n_runs FROM runs
   GROUP BY test_name, priority, month, year HAVING count(*) >= 3),
 swept AS (SELECT *, coalesce(risk < min(risk) OVER (ORDER BY throughput DESC, risk, signature ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_pareto FROM cfg),
-pts AS (SELECT signature, round(throughput, 6) AS throughput_mbps, round(risk, 4) AS predicted_risk, round(observed, 4) AS observed_fail_rate,
+pts AS (SELECT signature, round(throughput, 6) AS throughput_mbps, round(risk, 6) AS predicted_risk, round(observed, 6) AS observed_fail_rate,
   round(exec_ms, 6) AS execution_time_ms, n_runs, is_pareto FROM swept)"""
 
 
 def _points(spark, sf):
     base = runs(spark, sf)
     grouping = frontier.group_features(base, FEATURES)
-    return frontier.report_points(frontier.mark_frontier(frontier.configurations(base, grouping)), digits=6).drop("config")
+    return frontier.report_points(frontier.mark_frontier(frontier.configurations(base, grouping)), digits=6, rate_digits=6).drop("config")
 
 
 @query("a12_w01_frontier", f"WITH {CONFIG_SQL} SELECT * FROM pts")
