@@ -127,14 +127,17 @@ def rules_supported(support: DataFrame, min_rows: int = 25, min_share: float = 0
     ])
 
 
-def waveform_heads(spark: SparkSession, paths: str | list[str], declared: DataFrame, opening: str = "$date") -> DataFrame:
+def waveform_heads(
+    spark: SparkSession, paths: str | list[str], declared: DataFrame, opening: str = "$date", depth: int = 1
+) -> DataFrame:
     """Declared waveform files that are absent or do not open with ``$date``.
 
+    ``declared.name`` holds the last ``depth`` components of the path.
     Rows of a split keep their order, so the smallest row id of a file's first split is its
     first line; nothing but that line is kept.
     """
     lines = spark.read.text(paths).select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"),
+        F.substring_index("_metadata.file_path", "/", -depth).alias("name"),
         F.col("_metadata.file_block_start").alias("_at"), F.startswith("value", F.lit(opening)).alias("_ok"),
         F.monotonically_increasing_id().alias("_i"),
     )

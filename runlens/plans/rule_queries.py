@@ -408,9 +408,9 @@ def waveform_heads(spark, sf):
     n = table(spark, sf, "nation")
     head = F.when(F.col("n_nationkey") % 5 == 0, "no header").otherwise("$date")
     body = F.concat(head, F.lit("\n$end\n#0\n1!"))
-    n.where("n_nationkey % 7 <> 3").select(body.alias("value"), F.col("n_nationkey").alias("k")).repartition("k").write.partitionBy("k").text(path)
-    found = spark.read.text(path, recursiveFileLookup=True).select(
-        F.regexp_extract("_metadata.file_path", r"/k=(\d+)/", 1).alias("k"), F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name")
-    ).distinct()
-    declared = n.select(F.col("n_nationkey").cast("string").alias("k")).join(found, "k", "left").select(F.coalesce("name", F.lit("absent")).alias("name"))
-    return quality.waveform_heads(spark, f"{path}/*", declared)
+    n.where("n_nationkey % 7 <> 3").select(body.alias("value"), F.col("n_nationkey").alias("k")).write.partitionBy("k").text(path)
+    place = F.substring_index("_metadata.file_path", "/", -2)
+    found = spark.read.text(f"{path}/*").select(place.alias("name")).distinct()
+    found = found.withColumn("k", F.regexp_extract("name", r"^k=(\d+)/", 1))
+    declared = n.select(F.col("n_nationkey").cast("string").alias("k")).join(found, "k", "left")
+    return quality.waveform_heads(spark, f"{path}/*", declared.select(F.coalesce("name", F.lit("absent")).alias("name")), depth=2)
