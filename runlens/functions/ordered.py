@@ -2,31 +2,26 @@
 
 A global ``OVER (ORDER BY ..)`` sends every row to one task. These helpers cut the
 order into ranges first: a window runs inside each range, and the totals of the ranges
-before it (at most ``BUCKETS`` rows per group) are added afterwards.
+before it (one row per range and group) are added afterwards.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS = 256
+from ..session import cut
 
 
-def _cut_points(order: Column) -> Column:
-    steps = [i / BUCKETS for i in range(1, BUCKETS)]
-    return F.array_distinct(F.percentile_approx(order, F.array(*map(F.lit, steps)), F.lit(10000)))
-
 
 def _with_range(df: DataFrame, order: str, by: str | None) -> DataFrame:
-    if by is None:
-        cuts = df.agg(_cut_points(F.col(order)).alias("_cuts")).scalar()
-        df = df.withColumn("_cuts", cuts)
-    else:
-        # One row per group name; the callers pass column names, so this is schema-sized.
-        cuts = df.groupBy(by).agg(_cut_points(F.col(order)).alias("_cuts"))
-        df = df.join(F.broadcast(cuts), by)
-    bucket = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    return df.withColumn("_range", bucket).drop("_cuts")
+    """Range-partition by the order and keep the partition number as ``_range``.
+
+    Materialised: Spark samples the range bounds, and both users of ``_range`` below must see
+    the same ones.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [by, order] if by else [order]
+    return cut(df.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id()))
 
 
 def running(
@@ -53,7 +48,7 @@ def running(
         *[F.min(c).alias(f"_m_{c}") for c in mins],
         *[F.min_by(c, order).alias(f"_n_{c}") for c in nexts],
     )
-    # At most BUCKETS rows per group: a plain window is bounded here.
+    # One row per shuffle partition and group: a plain window is bounded here.
     ranges = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range")
     earlier = ranges.rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
