@@ -7,6 +7,8 @@ before it (one row per range and group) are added afterwards.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut
@@ -72,17 +74,36 @@ def running(
 def exact_quantiles(long: DataFrame, probs: list[float], value: str = "value") -> DataFrame:
     """Linear-interpolated quantiles of a ``(field, value)`` frame.
 
-    One row per field with ``n``, ``mean_q`` style columns ``q0..qk`` in the order of
-    ``probs``. Values are counted before they are ordered, so no task holds a whole column.
+    One row per field with ``n`` and ``q0..qk`` in the order of ``probs``. Values are counted before they are ordered, so no task holds a whole column.
     """
-    counts = (
-        long.where(F.col(value).isNotNull() & ~F.isnan(value))
-        .groupBy("field", F.col(value).alias("_v"))
-        .agg(F.count("*").alias("_n"))
+    counts = long.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy("field", value)
+    return counted_quantiles(counts.agg(F.count("*").alias("n")), probs, value)
+
+
+def counted_quantiles(counts: DataFrame, probs: list[float], value: str = "value") -> DataFrame:
+    """The same for a frame ``field, value, n`` of already counted values."""
+    counts = counts.select("field", F.col(value).alias("_v"), F.col("n").alias("_n"))
+    ranged = _with_range(counts, "_v", "field")
+    field = Window.partitionBy("field")
+    earlier = field.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("field", "_range").agg(F.sum("_n").alias("_size")).select(
+        "field", "_range", "_size", F.sum("_size").over(field).alias("_total"),
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
+    )
+
+    def ranks(p: float) -> list[Column]:
+        position = F.lit(float(p)) * (F.col("_total") - 1)
+        return [F.floor(position), F.ceil(position)]
+
+    # Only ranges that hold a wanted rank are ordered.
+    wanted = [
+        (r >= F.col("_before")) & (r < F.col("_before") + F.col("_size")) for p in probs for r in ranks(p)
+    ]
+    hit = sizes.where(reduce(lambda a, b: a | b, wanted)).drop("_size")
+    inside = Window.partitionBy("field", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranged.join(F.broadcast(hit), ["field", "_range"]).withColumn(
+        "cum__n", F.sum("_n").over(inside) + F.col("_before")
     )
-    ranked = running(counts, "_v", sums=["_n"], by="field")
-    totals = counts.groupBy("field").agg(F.sum("_n").alias("_total"))
-    ranked = ranked.join(F.broadcast(totals), "field")
 
     def at(rank: Column) -> Column:
         hit = (rank >= F.col("cum__n") - F.col("_n")) & (rank < F.col("cum__n"))
@@ -90,11 +111,8 @@ def exact_quantiles(long: DataFrame, probs: list[float], value: str = "value") -
 
     aggs = []
     for i, p in enumerate(probs):
-        position = F.lit(float(p)) * (F.col("_total") - 1)
-        aggs += [
-            at(F.floor(position)).alias(f"_lo{i}"),
-            at(F.ceil(position)).alias(f"_hi{i}"),
-        ]
+        low, high = ranks(p)
+        aggs += [at(low).alias(f"_lo{i}"), at(high).alias(f"_hi{i}")]
     found = ranked.groupBy("field").agg(F.max("_total").alias("n"), *aggs)
     cols = []
     for i, p in enumerate(probs):

@@ -19,14 +19,23 @@ def mask(message: Column) -> Column:
     return F.trim(F.regexp_replace(masked, BLANKS, " "))
 
 
+# Fixed value: the characters a Unicode-aware strip removes.
+SPACES = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.btrim(value, F.lit(SPACES))
 
 
 def norm_token(value: Column) -> Column:
     """Spelling-insensitive form of a categorical value."""
-    token = F.regexp_replace(F.lower(strip(value.cast("string"))), r"(?U)[\s\-]+", "_")
-    return F.regexp_replace(F.regexp_replace(token, "_+", "_"), "^_+|_+$", "")
+    text = value.cast("string")
+    token = F.regexp_replace(F.lower(strip(text)), r"(?U)[\s\x1c-\x1f\-_]+", "_")
+    # Most values hold no separator and need no replacement.
+    return F.when(text.rlike(r"(?U)[\s\x1c-\x1f\-_]"), F.btrim(token, F.lit("_"))).otherwise(F.lower(text))
 
 
 def is_nullish(value: Column) -> Column:
@@ -38,7 +47,8 @@ def verdict(value: Column) -> Column:
 
     Numeric flags are compared by value, so ``1.0`` equals ``1``.
     """
-    token = F.regexp_replace(norm_token(value), r"^([01])\.0+$", "$1")
+    token = norm_token(value)
+    token = F.when(token.rlike(r"^[01]\.0+$"), F.substring(token, 1, 1)).otherwise(token)
     return (
         F.when(token.isin(vocab.FAIL_WORDS), "fail").when(token.isin(vocab.PASS_WORDS), "pass")
     )

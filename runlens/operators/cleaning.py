@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions import vocab
 from ..functions.ordered import exact_quantiles
 from ..functions.text import is_nullish, norm_token, verdict
+from ..session import cut
 
 
 def is_text(df: DataFrame, name: str) -> bool:
@@ -314,16 +315,18 @@ def clean(
     found = detect_target(df, target)
     if found is None:
         raise ValueError("No verdict column: none holds both passing and failing words.")
-    report.rows_in = df.count()
-    report.rejected = rejected_targets(df, found).agg(F.sum("n")).first()[0] or 0
+    raw = F.col(f"`{found}`").cast("string")
+    unknown = ~is_nullish(raw) & verdict(raw).isNull()
+    report.rows_in, report.rejected = df.agg(F.count("*"), F.count_if(unknown)).first()
     if report.rejected:
         report.warnings.append(f"{report.rejected} rows of '{found}' hold unknown verdict words")
-    df = normalize_target(df, found)
-    df = canonicalize(df, found)
+    df = canonicalize(normalize_target(df, found), found)
     df, absent = apply_overrides(df, column_overrides, value_overrides)
     report.warnings += [f"override names absent column '{c}'" for c in absent]
     found = (column_overrides or {}).get(found, found)
     report.target = found
+    # The profiling passes below read the normalised text instead of deriving it again.
+    df = cut(df)
     classes = {r["value"]: r["n"] for r in class_balance(df, found).collect()}
     report.rows_out = sum(classes.values())
     if not classes:

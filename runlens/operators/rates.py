@@ -7,8 +7,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
-from ..functions.ordered import exact_quantiles
-from .cleaning import distinct_counts, long_form
+from ..functions.ordered import counted_quantiles
+from ..session import cut
+from .cleaning import long_form
 from .summary import fail_rate, failed
 
 
@@ -16,15 +17,16 @@ def numeric(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.NumericType)
 
 
-def bin_edges(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[float]]:
-    """Equal-frequency edges per column, duplicates dropped: ``bins + 1`` numbers each."""
-    if not columns:
-        return {}
-    long = long_form(df, columns, "double")
-    found = exact_quantiles(long, [i / bins for i in range(bins + 1)])
-    return {
-        r["field"]: sorted({r[f"q{i}"] for i in range(bins + 1)}) for r in found.collect()
-    }
+def number_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``field, value, n`` of numeric columns: the one pass over the rows that binning needs."""
+    long = long_form(df, columns, "double").where("value is not null and not isnan(value)")
+    return cut(long.groupBy("field", "value").agg(F.count("*").alias("n")))
+
+
+def bin_edges(counts: DataFrame, bins: int) -> dict[str, list[float]]:
+    """Equal-frequency edges per field, duplicates dropped: at most ``bins + 1`` numbers each."""
+    found = counted_quantiles(counts, [i / bins for i in range(bins + 1)])
+    return {r["field"]: sorted({r[f"q{i}"] for i in range(bins + 1)}) for r in found.collect()}
 
 
 def bin_index(value: Column, edges: list[float]) -> Column:
@@ -41,11 +43,12 @@ def binned(
 ) -> tuple[DataFrame, dict[str, list[float]]]:
     """Replace wide numeric columns by bin labels ``q1..qk``; the rest become text."""
     numbers = [c for c in columns if numeric(df, c)]
-    wide: list[str] = []
+    edges: dict[str, list[float]] = {}
     if numbers:
-        counts = {r["field"]: r["n_distinct"] for r in distinct_counts(df, numbers).collect()}
-        wide = [c for c in numbers if counts.get(c, 0) > max_levels]
-    edges = bin_edges(df, wide, bins)
+        counts = number_counts(df, numbers)
+        sizes = counts.groupBy("field").agg(F.count("*").alias("k")).collect()
+        wide = [r["field"] for r in sizes if r["k"] > max_levels]
+        edges = bin_edges(counts.where(F.col("field").isin(wide)), bins) if wide else {}
     labels = {
         c: F.concat(F.lit("q"), bin_index(F.col(c).cast("double"), edges[c])) if c in edges
         else F.col(c).cast("string")

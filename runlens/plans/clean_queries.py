@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cleaning as c, roles
+from ..session import spread
 from .corpus import RUNS_SQL, runs, table
 from .registry import query
 
 
 def messy(spark, sf):
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders")).select(
         F.col("o_orderkey").alias("run_id"),
         F.expr("""CASE o_orderkey % 5 WHEN 0 THEN upper(o_orderpriority) WHEN 1 THEN ' ' || o_orderpriority || ' '
           WHEN 2 THEN replace(o_orderpriority, '-', ' ') WHEN 3 THEN 'N/A' ELSE lower(o_orderpriority) END""").alias("level"),

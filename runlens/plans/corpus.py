@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import spread
+
 FEATURES = ["test_name", "priority", "nation", "month", "year", "balance"]
 KNOBS = ["priority", "nation", "month", "year", "balance"]
 
@@ -18,7 +20,7 @@ def run_key(column: str):
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
     """One row per order: settings from order and customer, verdict from the order status."""
-    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    o, c = spread(table(spark, sf, "orders")), table(spark, sf, "customer")
     bad = F.col("o_orderstatus") == "F"
     return o.join(c, o.o_custkey == c.c_custkey).select(
         run_key("o_orderkey").alias("run_id"),
@@ -83,7 +85,7 @@ ERRORS_SQL = """errors AS (
 
 def log_text(spark: SparkSession, sf: str) -> DataFrame:
     """One run-log block per order, as text, with up to three error lines."""
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders"))
     bad = F.col("o_orderstatus") == "F"
     n = F.when(bad, 1 + F.col("o_orderkey") % 3).otherwise(0)
     one = lambda i: F.concat(

@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import attribution, learning, recommend, roles, rules, scoring
+from ..session import cut
 from .compare_queries import CONFIG_SQL, _points
 from .corpus import FEATURES, RUNS_SQL, runs
 from .registry import query
@@ -15,7 +16,7 @@ QUICK = {"rounds": 4, "depth": 4}
 
 
 def _quick_model(spark, sf):
-    base = resolved(spark, sf).drop("prob", "risk")
+    base = cut(resolved(spark, sf).drop("prob", "risk"))
     model, marked = learning.train_risk(base, FEATURES, **QUICK)
     return base, model, marked
 
@@ -53,6 +54,7 @@ def ordinal_codes(spark, sf):
 @query("m03_m06_baseline_forest")
 def baseline_forest(spark, sf):
     base = resolved(spark, sf).drop("prob", "risk", "cycles", "throughput_mbps", "execution_time_ms", "primary_error_tag", "seed")
+    base = cut(base)
     found = roles.detect_roles(base)
     model, marked = learning.train_baseline(base, found, "random_forest", scale=0.05)
     return scoring.threshold_metrics(model.score(marked.where("is_test")))
@@ -60,7 +62,7 @@ def baseline_forest(spark, sf):
 
 @query("m05_baseline_logistic")
 def baseline_logistic(spark, sf):
-    base = resolved(spark, sf)
+    base = cut(resolved(spark, sf))
     chosen = {"numeric": ["nation", "month", "balance"], "categorical": ["test_name", "priority", "year"]}
     model, marked = learning.train_baseline(base, chosen, "logistic_regression", scale=0.02)
     return scoring.areas(model.score(marked.where("is_test").drop("risk")))
@@ -80,7 +82,7 @@ def batch_scores(spark, sf):
 
 @query("a25_w07_importance_rollup")
 def importance_rollup(spark, sf):
-    base = resolved(spark, sf)
+    base = cut(resolved(spark, sf))
     chosen = {"numeric": ["nation", "month", "balance"], "categorical": ["test_name", "priority", "year"]}
     model, _ = learning.train_baseline(base, chosen, "random_forest", scale=0.03)
     return learning.rolled_up_importances(learning.raw_importances(spark, model), learning.lineage_table(spark, model.encoder))

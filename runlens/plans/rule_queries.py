@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import grading, quality, rates, rules, scoring, synthesis
+from ..session import spread
 from ..sources import logs
 from .corpus import ERRORS_SQL, FEATURES, RUNS_SQL, errors, runs, table
 from .log_queries import LOG_SQL, parsed
@@ -116,7 +117,7 @@ SYNTH_RULES = [
 
 
 def keys(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"))
+    return spread(table(spark, sf, "orders")).select(F.col("o_orderkey").alias("run_id"))
 
 
 @query(

@@ -45,3 +45,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` and cut its lineage so that it survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when a scan has fewer splits than cores (one small file, for instance)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
