@@ -57,7 +57,7 @@ def parse_blocks(blocks: DataFrame) -> DataFrame:
 
     ``config`` and ``metrics`` hold the JSON objects as text; ``errors`` is ordered.
     """
-    text = F.regexp_replace("value", "\r\n?", "\n")
+    text = F.when(F.contains("value", F.lit("\r")), F.regexp_replace("value", "\r\n?", "\n")).otherwise(F.col("value"))
     starts = F.startswith(text, F.lit(BANNER))
     text = F.when(starts, F.substring(text, len(BANNER) + 1, 2**31 - 1)).otherwise(text)
     # Text before the first banner of a file: separators only, or marked by split_blocks.
@@ -125,17 +125,11 @@ def parse_blocks(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _is_object(payload: Column) -> Column:
-    return F.try_parse_json(payload).isNotNull() & payload.rlike(r"^\s*\{")
-
-
 def is_run(blocks: DataFrame) -> Column:
     """A block is a run when it has an id and a non-empty configuration object."""
-    return (
-        (F.coalesce(F.col("run_id"), F.lit("")) != "")
-        & _is_object(F.col("config"))
-        & ~F.col("config").rlike(r"^\s*\{\s*\}\s*$")
-    )
+    # One look at the payload: null for anything but a well-formed object.
+    keys = F.coalesce(F.size(F.json_object_keys("config")), F.lit(-1))
+    return (F.coalesce(F.col("run_id"), F.lit("")) != "") & (keys > 0)
 
 
 def errors_of(parsed: DataFrame) -> DataFrame:
@@ -223,7 +217,7 @@ def parse_stats(parsed: DataFrame) -> DataFrame:
     """Counters of one parse. A bad block counts once, whatever is wrong with it."""
     run = is_run(parsed)
     block = (F.coalesce(F.col("run_id"), F.lit("")) != "") | (F.col("config") != "")
-    bad_metrics = (F.col("metrics") != "") & ~_is_object(F.col("metrics"))
+    bad_metrics = (F.col("metrics") != "") & F.json_object_keys("metrics").isNull()
     return parsed.agg(
         F.count_if(run).alias("runs"),
         F.coalesce(F.sum(F.when(run, F.size("errors"))), F.lit(0)).alias("error_lines"),
