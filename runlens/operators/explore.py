@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vocab
+from ..session import cut
 
 PAGE_LIMIT = 200
 # Up to this many leading rows a top-k is cheap; deeper pages are located by counts.
@@ -41,7 +42,8 @@ def page(
         return df.orderBy(*order).offset(start).limit(size)
     # Deep page: sort in parallel, number rows per partition, keep the partitions' slices.
     ordered = df.orderBy(*order).withColumn("_p", F.spark_partition_id())
-    ordered = ordered.withColumn("_i", F.monotonically_increasing_id())
+    # Materialised: sampling must not draw other partition bounds for the counts below.
+    ordered = cut(ordered.withColumn("_i", F.monotonically_increasing_id()))
     sizes = ordered.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_p", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))

@@ -227,9 +227,9 @@ def hash_numbered(df: DataFrame, name: str = "run_id", prefix: str = "RUN-") ->
     """
     columns = df.columns
     rows = df.groupBy(*columns).agg(F.count("*").alias("_c"))
-    rows = rows.withColumn("_h", F.xxhash64(*columns)).withColumn("_r", F.shiftright("_h", 52))
+    rows = rows.withColumn("_h", F.xxhash64(*columns)).withColumn("_r", F.shiftright("_h", 48))
     sizes = rows.groupBy("_r").agg(F.sum("_c").alias("_n"))
-    earlier = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows at most
+    earlier = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)  # 65536 rows at most
     offsets = sizes.select("_r", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     upto = (
         Window.partitionBy("_r").orderBy("_h", *columns).rowsBetween(Window.unboundedPreceding, -1)

@@ -108,6 +108,14 @@ def test_recommendations_avoid_the_rules(corpus, model):
     assert len(none) == 10 and all(r["is_fallback"] for r in none)
 
 
+def test_wide_settings_are_drawn_by_join(corpus, monkeypatch):
+    monkeypatch.setattr(recommend, "INLINE_LEVELS", 2)
+    space = recommend.search_space(corpus, ["cache_policy", "num_planes"])
+    assert space["cache_policy"] == {"kind": "levels", "n": 3}
+    drawn = recommend.candidates(corpus.sparkSession, corpus, space, {}, 900).groupBy("cache_policy").count().collect()
+    assert sum(r["count"] for r in drawn) == 900 and all(r["count"] > 200 for r in drawn) and len(drawn) == 3
+
+
 def test_whole_analysis(corpus):
     errors = corpus.where("pass_fail = 'fail'").select("run_id", F.lit("ERROR").alias("severity"))
     runs = corpus.withColumn("trace_fingerprint", F.when(F.col("pass_fail") == "fail", F.concat(F.lit("unit fault "), F.lower("primary_error_tag"))).otherwise("CLEAN"))
