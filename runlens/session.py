@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -25,20 +24,24 @@ def local_session(cpus: int | str = "*", app: str = "runlens", memory: str = "12
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
+    """Folder every executor can reach: ``spark.checkpoint.dir`` of the session, as it is set.
 
-    Only a session without that setting (a test) gets a temporary folder.
+    A single-machine session without that setting (a test) gets a temporary folder; on a cluster it is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
+    current = sc.getCheckpointDir()
+    if current is None:
+        if configured is None and not (sc.master or "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="runlens-"))
-    return (configured or sc.getCheckpointDir()).removeprefix("file:")
+        current = sc.getCheckpointDir()
+    return configured or current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
