@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, quality_rules
+from . import chat_format, circulant_minhash, quality_rules
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +46,25 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judged(docs).select("doc_id", *quality_rules.METRICS, "base_failed", "kept")
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS p FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[p : p + 4], ' ') AS s FROM g),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM p JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v WHERE 100 * c >= 85 * (nu.n + nv.n - c)),
+r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+m AS (SELECT u AS doc_id, least(u, min(v)) AS low FROM r GROUP BY u)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(low, doc_id) AS component_id,
+  coalesce(low, doc_id) = doc_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
+@query("op5_circulant_minhash", OP5_SQL)
+def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return circulant_minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
