@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, circulant_minhash, quality_rules
+from . import chat_format, circulant_minhash, quality_rules, suffix_repeats
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,24 @@ FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
 def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return circulant_minhash.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP6_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT rid, ws, unnest(range(1, len(ws) - 33)) AS p FROM w WHERE len(ws) >= 35),
+h AS (SELECT rid, p, count(*) OVER (PARTITION BY md5(array_to_string(ws[p : p + 34], ' '))) AS c FROM g),
+r AS (SELECT DISTINCT rid, p + o AS p FROM h, range(35) t(o) WHERE c > 1),
+k AS (SELECT rid, list(p) AS gone FROM r GROUP BY rid),
+f AS (SELECT doc_id, len(ws) AS n_words, coalesce(len(gone), 0) AS n_removed,
+  CASE WHEN gone IS NULL THEN ws ELSE
+    list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ws[i]) END AS kept
+  FROM w LEFT JOIN k USING (rid))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM f"""
+
+
+@query("op6_suffix_repeats", OP6_SQL)
+def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_repeats.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
