@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, circulant_minhash, quality_rules, suffix_repeats
-from .common import table
+from . import chat_format, circulant_minhash, mixing, quality_rules, suffix_repeats
+from .common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,3 +89,9 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS
 def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_repeats.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op9_source_mixing")
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = stored(mixing.sized(table(spark, sf_dir, "documents")), "mix-sizes")
+    return mixing.taken(*mixing.mix(sizes)).select("doc_id", "size", "source_size", "target", "taken")
