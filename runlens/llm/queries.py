@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, circulant_minhash, mixing, quality_rules, suffix_repeats
+from . import chat_format, circulant_minhash, mixing, packing, quality_rules, suffix_repeats
 from .common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +95,9 @@ def op6_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = stored(mixing.sized(table(spark, sf_dir, "documents")), "mix-sizes")
     return mixing.taken(*mixing.mix(sizes)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.packed(docs, with_ids=False)
