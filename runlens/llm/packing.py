@@ -25,7 +25,7 @@ END = 1
 FILE = "byte_bpe_50k.json"
 
 # The white space of the tokenizer's splitting pattern, and its special token.
-BLANK = "\t-\r \x85\xa0  -     　"
+BLANK = "\t-\r \x85\xa0" + chr(0x1680) + chr(0x2000) + "-" + chr(0x200A) + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 SPECIAL = "<|endoftext|>"
 # Parts that are encoded each by itself: no token crosses from one to the next.
 PART = re.compile(f" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, circulant_minhash, mixing, packing, quality_rules, suffix_repeats
+from . import chat_format, circulant_minhash, mixing, packing, quality_rules, suffix_repeats, surrogates
 from .common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,9 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.packed(docs, with_ids=False)
+
+
+@query("op8_surrogates")
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.with_surrogates(docs).select("doc_id", "text", "n_replaced")
