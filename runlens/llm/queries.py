@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, circulant_minhash, mixing, packing, quality_rules, suffix_repeats, surrogates
+from . import chat_format, circulant_minhash, graph_neighbours, mixing, packing, quality_rules, suffix_repeats, surrogates
 from .common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,3 +107,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates.with_surrogates(docs).select("doc_id", "text", "n_replaced")
+
+
+@query("op4_graph_neighbours")
+def op4_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return graph_neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))
