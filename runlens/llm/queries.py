@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, circulant_minhash, graph_neighbours, mixing, packing, quality_rules, suffix_repeats, surrogates
+from . import chat_format, circulant_minhash, graph_neighbours, html_wrapper, mixing, packing, quality_rules, suffix_repeats, surrogates
 from .common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,9 @@ def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return graph_neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+@query("op3_html_wrapper")
+def op3_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_wrapper.main_texts(pages).withColumn("n_chars", F.length("text").cast("long"))
