@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, circulant_minhash, graph_neighbours, html_wrapper, mixing, packing, quality_rules, suffix_repeats, surrogates
+from . import (
+    chat_format, circulant_minhash, graph_neighbours, html_wrapper, mixing, packing, pu_quality, quality_rules, suffix_repeats, surrogates,
+)
 from .common import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +121,9 @@ def op4_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_wrapper.main_texts(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op1_pu_quality")
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return pu_quality.quality_scores(docs, labels.select("doc_id", "quality"))[0]
