@@ -25,7 +25,11 @@ def group_features(
 def configurations(
     runs: DataFrame, grouping: list[str], risk: str = "risk", min_runs: int = 3
 ) -> DataFrame:
-    """One row per configuration with enough runs: means, observed rate, signature."""
+    """One row per configuration with enough runs: means, observed rate, signature.
+
+    ``representative`` holds all columns of the configuration's run with the smallest id.
+    """
+    own = runs.columns
     for name, default in (("throughput_mbps", 1.0), ("execution_time_ms", 0.0)):
         if name not in runs.columns:
             runs = runs.withColumn(name, F.lit(default))
@@ -33,11 +37,11 @@ def configurations(
     grouped = runs.groupBy(*grouping).agg(
         F.avg("throughput_mbps").alias("throughput"), F.avg(risk).alias("risk"),
         F.avg("execution_time_ms").alias("exec_ms"), fail_rate().alias("observed_fail_rate"),
-        F.count("*").alias("n_runs"),
+        F.count("*").alias("n_runs"), F.min_by(F.struct(*[F.col(f"`{c}`") for c in own]), "run_id").alias("representative"),
     )
     return grouped.where(F.col("n_runs") >= min_runs).select(
         signature.alias("signature"), F.struct(*grouping).alias("config"),
-        "throughput", "risk", "exec_ms", "observed_fail_rate", "n_runs",
+        "throughput", "risk", "exec_ms", "observed_fail_rate", "n_runs", "representative",
     )
 
 

@@ -50,8 +50,11 @@ def thin_curve(points: DataFrame, about: int = 100) -> DataFrame:
 def areas(df: DataFrame, score: str = "risk") -> DataFrame:
     """Exact ROC area (ties count half) and average precision (step sum)."""
     curve = running(score_counts(df, score), "_key", sums=["pos", "neg"])
-    pairs = F.sum((F.col("neg") * (2 * F.col("cum_pos") - F.col("pos"))).cast("decimal(38,0)"))
-    steps = F.sum(F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))
+    # Products of two counts can exceed a long, so factors are widened first.
+    wide = lambda c: c.cast("decimal(19,0)")
+    pairs = F.sum((wide(F.col("neg")) * wide(2 * F.col("cum_pos") - F.col("pos"))).cast("decimal(38,0)"))
+    share = F.col("cum_pos").cast("double") / (F.col("cum_pos") + F.col("cum_neg"))
+    steps = F.sum(F.col("pos") * share)
     sums = curve.agg(pairs.alias("_pairs"), steps.alias("_steps"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     both = F.col("_p").cast("double") * F.col("_n") * 2
     return sums.select(

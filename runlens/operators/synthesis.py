@@ -40,45 +40,6 @@ def repeat_configs(configs: DataFrame, times: int, key: str = "config_id", seed:
     return copies.withColumn("seed", F.floor(uniform(F.col("run_id"), "seed", seed) * (2**31 - 1)).cast("long"))
 
 
-# Range by which a failure mode stretches or cuts the duration of a run.
-MODE_DURATION = {
-    "FIFO_OVERFLOW": (1.2, 1.8), "ECC_UNCORRECTABLE": (1.1, 1.5), "RETENTION_FAIL": (1.0, 1.4),
-    "PROTOCOL_VIOLATION": (0.15, 0.35), "DATA_MISMATCH": (0.30, 0.70), "ASSERTION_FAIL": (0.20, 0.55),
-}
-
-
-def run_metrics(runs: DataFrame, key: str = "run_id", seed: int = 42, ceiling: float = 2000.0) -> DataFrame:
-    """Duration, throughput and cycles from settings, verdict and failure mode."""
-    k, tag = F.col(key), F.col("primary_error_tag")
-    draw = lambda name, low, high: uniform(k, name, seed) * (high - low) + low
-    work = (F.col("queue_depth") * F.col("burst_length")).cast("double")
-    lanes = (F.col("num_channels") * F.col("num_planes")).cast("double")
-    ideal = 120.0 * (work / 256.0) / F.pow(lanes, 0.6) / (F.col("clock_freq_mhz") / 800.0)
-    spent = ideal * F.exp(normal(k, "duration", seed) * 0.35)
-    factor = F.lit(1.0)
-    for mode, (low, high) in MODE_DURATION.items():
-        factor = F.when(tag == mode, draw(f"mode/{mode}", low, high)).otherwise(factor)
-    soft = ceiling * F.tanh(spent * factor / ceiling)
-    ms = F.greatest(F.when(tag == "TIMEOUT", ceiling * draw("timeout", 0.98, 1.0)).otherwise(soft), F.lit(1.0))
-    df = runs.withColumn("_ms", ms)
-    moved = work * lanes * 512.0 / (F.col("_ms") / 1000.0) / 1e6 * draw("jitter", 0.92, 1.08)
-    moved = moved * F.when(F.col("pass_fail") == "fail", draw("degraded", 0.25, 0.75)).otherwise(1.0)
-    return df.withColumns(
-        {
-            "execution_time_ms": F.round("_ms", 2),
-            "throughput_mbps": F.round(moved / (1.0 + moved / 8000.0), 2),
-            "cycles": (F.col("_ms") / 1000.0 * F.col("clock_freq_mhz") * 1e6).cast("long"),
-        }
-    ).drop("_ms")
-
-
-def synthesise_runs(
-    keys: DataFrame, specs: list[dict], rules: list[dict], base: float, noise: dict[str, float], seed: int = 42
-) -> DataFrame:
-    """Settings, verdict, tag and metrics for every key: a whole run table in one projection."""
-    return run_metrics(resolve(sample_fields(keys, specs, seed=seed), rules, base, noise, seed=seed), seed=seed)
-
-
 def outcome_multipliers(df: DataFrame, rules: list[dict], base: float, ceiling: float = 0.95) -> DataFrame:
     """Failure probability, time and throughput factors of multiplying rules, and the tag of
     the largest failure multiplier that fires."""
@@ -93,36 +54,3 @@ def outcome_multipliers(df: DataFrame, rules: list[dict], base: float, ceiling:
             "error_bias": attributed_tag(tagged),
         }
     )
-
-
-def child_rows(runs: DataFrame, low: int, high: int, id_name: str, key: str = "run_id", seed: int = 42) -> DataFrame:
-    """``low`` to ``high`` numbered child rows per run, in random number."""
-    n = (F.floor(uniform(F.col(key), f"{id_name}/count", seed) * (high - low + 1)) + low).cast("int")
-    return runs.withColumn("n_child", F.explode(F.sequence(F.lit(1), n))).withColumn(
-        id_name, F.concat_ws("-", F.col(key).cast("string"), F.col("n_child").cast("string"))
-    )
-
-
-def transactions(runs: DataFrame, seed: int = 42, low: int = 4, high: int = 10) -> DataFrame:
-    """Transactions of each run: start and end inside the run, failing ones in failing runs."""
-    rows = child_rows(runs, low, high, "txn_id", seed=seed)
-    k = F.col("txn_id")
-    span = F.col("execution_time_ms") * 1e6
-    start = F.floor(uniform(k, "start", seed) * span * 0.9).cast("long")
-    bad = (F.col("pass_fail") == "fail") & (uniform(k, "bad", seed) < 0.3)
-    return rows.select(
-        "run_id", "txn_id", start.alias("start_time_ns"),
-        (start + F.floor(uniform(k, "length", seed) * span * 0.1).cast("long")).alias("end_time_ns"),
-        choice(uniform(k, "type", seed), ["READ", "WRITE", "ERASE"], [0.5, 0.4, 0.1]).alias("txn_type"),
-        F.when(bad, "MISMATCH").otherwise("MATCH").alias("checker_result"),
-    )
-
-
-def register_accesses(runs: DataFrame, seed: int = 42, per_run: int = 4) -> DataFrame:
-    rows = child_rows(runs, per_run, per_run, "access_id", seed=seed)
-    k = F.col("access_id")
-    return rows.select(
-        "run_id", "access_id",
-        choice(uniform(k, "kind", seed), ["READ", "WRITE"]).alias("access_type"),
-        F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(F.floor(uniform(k, "addr", seed) * 4096).cast("long"))), 4, "0")).alias("reg_addr"),
-    )

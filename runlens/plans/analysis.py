@@ -18,7 +18,7 @@ def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame |
     kinds = {r["kind"] for r in tables.route(tables.file_listing(spark, path)).select("kind").distinct().collect()}
     log_runs = errors = None
     if "log" in kinds:
-        blocks = logs.parse_blocks(logs.read_blocks(spark, f"{path}/*.log"))
+        blocks = logs.parse_blocks(logs.read_blocks(spark, path, below=True))
         log_runs, errors = logs.runs_of(blocks), logs.errors_of(blocks)
     found = tables.load_tables(spark, path) if "csv" in kinds else {}
     return merge.combine(found, log_runs, errors)

@@ -47,7 +47,7 @@ def failing_sample(spark, sf):
 
 
 _DIST = " + ".join(f"pow((f.{c} - p.{c}) / sd_{c}, 2)" for c in NUMS) + " + 2 * CAST(f.priority <> p.priority AS INT)"
-_TWIN_CTE = f"""{RUNS_SQL}, {SAMPLE_SQL},
+_TWIN_CTE = f"""{RUNS_SQL}, fs AS (SELECT * FROM runs WHERE {FAIL}),
 sd AS (SELECT test_name, {', '.join(f'stddev_pop({c}) AS sd_{c}' for c in NUMS)} FROM runs GROUP BY 1),
 tol AS (SELECT {', '.join(f'0.5 * stddev_samp({c}) AS t_{c}' for c in NUMS)} FROM runs),
 pr AS (SELECT f.test_name AS sequence, f.run_id AS failing_run, p.run_id AS passing_run, sqrt({_DIST}) AS distance,
@@ -118,13 +118,18 @@ def frontier_points(spark, sf):
 @query(
     "j06_representative_config",
     f"""WITH {CONFIG_SQL} SELECT p.signature, string_split(p.signature, '|')[1] AS test_name, string_split(p.signature, '|')[2] AS priority,
-    CAST(string_split(p.signature, '|')[3] AS INTEGER) AS month, CAST(string_split(p.signature, '|')[4] AS INTEGER) AS year FROM pts p WHERE is_pareto""",
+    CAST(string_split(p.signature, '|')[3] AS INTEGER) AS month, CAST(string_split(p.signature, '|')[4] AS INTEGER) AS year,
+    r.run_id AS first_run, r.nation AS first_nation, r.balance AS first_balance FROM pts p JOIN (SELECT *, row_number() OVER (
+      PARTITION BY test_name, priority, month, year ORDER BY run_id) AS k FROM runs) r
+    ON k = 1 AND p.signature = concat_ws('|', r.test_name, r.priority, r.month, r.year) WHERE is_pareto""",
 )
 def representative_config(spark, sf):
     base = runs(spark, sf)
     grouping = frontier.group_features(base, FEATURES)
     marked = frontier.mark_frontier(frontier.configurations(base, grouping))
-    return marked.where("is_pareto").select("signature", "config.*")
+    first = F.col("representative")
+    return marked.where("is_pareto").select(
+        "signature", "config.*", first["run_id"].alias("first_run"), first["nation"].alias("first_nation"), first["balance"].alias("first_balance"))
 
 
 KNEE_SQL = """e AS (SELECT count(*) AS n, min(predicted_risk) AS r0, max(predicted_risk) AS r1, min(throughput_mbps) AS t0, max(throughput_mbps) AS t1,

@@ -132,17 +132,31 @@ def register_rollup(spark, sf):
 @query(
     "s29_u05_row_union",
     """SELECT l_orderkey, l_partkey, NULL AS l_tax FROM lineitem WHERE l_returnflag = 'A' UNION ALL
-    SELECT l_orderkey, NULL, l_tax FROM lineitem WHERE l_returnflag = 'R'""",
+    SELECT l_orderkey, NULL, l_tax FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, l_partkey, l_tax FROM lineitem WHERE l_returnflag = 'N'""",
 )
 def row_union(spark, sf):
     l = table(spark, sf, "lineitem")
     return tables.union_all([
-        l.where("l_returnflag = 'A'").select("l_orderkey", "l_partkey"), l.where("l_returnflag = 'R'").select("l_orderkey", "l_tax")
+        l.where("l_returnflag = 'A'").select("l_orderkey", "l_partkey"), l.where("l_returnflag = 'R'").select("l_orderkey", "l_tax"),
+        l.where("l_returnflag = 'N'").select("l_tax", "l_partkey", "l_orderkey"),
     ])
 
 
 # ------------------------------------------------------------------ tolerant readers
 
+
+@query("s22_json_array", "SELECT c_custkey AS id, c_mktsegment AS segment, CAST(c_nationkey AS BIGINT) AS nation, 'a | ' || c_custkey AS tags FROM customer")
+def json_array(spark, sf):
+    """Customers as JSON arrays of nested objects, one file per nation, read back as flat rows."""
+    path = scratch_path(spark, "array")
+    c = table(spark, sf, "customer")
+    one = F.to_json(F.struct(
+        F.col("c_custkey").alias("id"), F.struct(F.col("c_mktsegment").alias("segment"), F.struct(F.col("c_nationkey").alias("nation")).alias("in")).alias("of"),
+        F.array(F.lit("a"), F.col("c_custkey").cast("string")).alias("tags")))
+    files = c.select(one.alias("j"), "c_nationkey").groupBy("c_nationkey").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))
+    files.write.partitionBy("c_nationkey").text(path)
+    return tolerant.json_array(spark, f"{path}/*/*.txt").select("id", "segment", "nation", "tags")
+
 JSON_ROWS = """SELECT CASE WHEN o_orderkey % 9 <> 0 THEN o_orderkey END AS id, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderpriority END AS level,
  CASE WHEN o_orderkey % 9 <> 0 THEN o_custkey END AS cust, CASE WHEN o_orderkey % 9 <> 0 THEN 'a | ' || o_orderstatus END AS tags FROM orders WHERE o_orderkey % 9 <> 0"""
 

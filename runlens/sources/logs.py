@@ -23,9 +23,15 @@ TRAILING = [
 ]
 
 
-def read_blocks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per banner-delimited block of the log files."""
-    raw = spark.read.option("lineSep", "\n" + BANNER).text(paths)
+def read_blocks(spark: SparkSession, paths: str | list[str], below: bool = False) -> DataFrame:
+    """One row per banner-delimited block of the log files.
+
+    With ``below``, ``paths`` are folders and all ``.log`` files at any depth are read, in any case of the suffix.
+    """
+    reader = spark.read.option("lineSep", "\n" + BANNER)
+    if below:
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[lL][oO][gG]")
+    raw = reader.text(paths)
     return raw.select("value", F.col("_metadata.file_path").alias("file"))
 
 
@@ -44,7 +50,8 @@ def split_blocks(texts: DataFrame, column: str = "value") -> DataFrame:
 
 
 def _section(block: Column, name: str) -> Column:
-    pattern = rf"(?s)\n\[{name}\]\n(.*?)\n?\[/{name}\](?=\n|$)"
+    # The last section of a name counts.
+    pattern = rf"(?s).*\n\[{name}\]\n(.*?)\n?\[/{name}\](?=\n|$)"
     return F.regexp_replace(F.regexp_extract(block, pattern, 1), "\n", "")
 
 
