@@ -177,3 +177,60 @@ def search_summary(spark, sf):
 @query("w17_search_history", f"WITH {CAND_SQL} SELECT trial FROM ca WHERE value > -500000 ORDER BY trial LIMIT 400")
 def search_history(spark, sf):
     return recommend.history(_observed(spark, sf)).select("trial")
+
+
+# What must hold for any fitted model, as exact facts that SQL can state from the tables.
+
+
+@query("m07_m16_score_contract", f"WITH {RUNS_SQL} SELECT count(*) AS n_runs, count(*) AS n_probabilities, count(DISTINCT run_id) AS n_ids, true AS beats_a_constant FROM runs")
+def score_contract(spark, sf):
+    """Every run is scored once, with a probability; held-out failures rank above chance."""
+    base, model, marked = _quick_model(spark, sf)
+    area = scoring.areas(model.score(marked.where("is_test"))).select((F.col("roc_auc") > 0.5).alias("beats_a_constant"))
+    p = F.col("failure_probability")
+    return model.score(base, "failure_probability").agg(
+        F.count("*").alias("n_runs"), F.count_if((p >= 0) & (p <= 1)).alias("n_probabilities"), F.count_distinct("run_id").alias("n_ids")
+    ).withColumn("beats_a_constant", area.scalar())
+
+
+@query(
+    "m08_m09_contribution_contract",
+    f"WITH {RUNS_SQL} SELECT count(*) AS n_runs, count(*) AS n_add_up, CAST({len(FEATURES)} AS BIGINT) AS n_features FROM runs",
+)
+def contribution_contract(spark, sf):
+    """Contributions of all runs add up, with the base, to the model's margin."""
+    base, model, _ = _quick_model(spark, sf)
+    phi, offset = attribution.contributions(model, base, base)
+    raw = model.model.transform(model.encoder.transform(base)).select("run_id", vector_to_array("rawPrediction")[1].alias("margin"))
+    total = F.aggregate("phi", F.lit(0.0), lambda a, b: a + b) + offset
+    return phi.join(raw, "run_id").agg(
+        F.count("*").alias("n_runs"), F.count_if(F.abs(total - F.col("margin")) < 1e-6).alias("n_add_up"), F.max(F.size("phi")).cast("long").alias("n_features")
+    )
+
+
+@query("a25_w07_importance_contract", "SELECT CAST(6 AS BIGINT) AS n_features, true AS shares_add_up, CAST(6 AS BIGINT) AS n_ranks")
+def importance_contract(spark, sf):
+    """Importances of one-hot columns roll up to one share per setting."""
+    ranked = importance_rollup(spark, sf)
+    return ranked.agg(
+        F.count("*").alias("n_features"), (F.abs(F.sum("importance") - 1) < 0.01).alias("shares_add_up"), F.count_distinct("rank").alias("n_ranks"))
+
+
+@query(
+    "m11_m14_candidate_contract",
+    "SELECT CAST(5000 AS BIGINT) AS n_trials, CAST(5000 AS BIGINT) AS n_in_domain, CAST(5000 AS BIGINT) AS n_consistent",
+)
+def candidate_contract(spark, sf):
+    """Drawn candidates lie in the domain that the runs span, and are feasible exactly if their risk is within the limit."""
+    base, model, _ = _quick_model(spark, sf)
+    speed = learning.train_throughput(base, FEATURES, **QUICK)
+    drawn = recommend.candidates(spark, base, recommend.search_space(base, FEATURES), {}, 5000)
+    scored = recommend.evaluate(drawn, model, speed, max_risk=0.3)
+    low = base.agg(*[F.min(f).alias(f"{f}__lo") for f in FEATURES], *[F.max(f).alias(f"{f}__hi") for f in FEATURES])
+    inside = F.lit(True)
+    for f in FEATURES:
+        inside = inside & F.col(f).between(F.col(f"{f}__lo"), F.col(f"{f}__hi"))
+    return scored.join(F.broadcast(low)).agg(
+        F.count("*").alias("n_trials"), F.count_if(inside).alias("n_in_domain"),
+        F.count_if(F.col("feasible") == (F.col("predicted_risk") <= 0.3)).alias("n_consistent"),
+    )

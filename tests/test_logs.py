@@ -84,3 +84,19 @@ def test_mask(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "m string").select("m", mask(F.col("m")).alias("t"))
     assert {r["m"]: r["t"] for r in df.collect()} == cases
+
+
+def test_logs_are_found_at_any_depth_and_case(spark, tmp_path):
+    from runlens.plans.analysis import read_corpus
+
+    (tmp_path / "sub").mkdir()
+    for at, name in enumerate(["a.log", "sub/b.log", "X.LOG"]):
+        write(tmp_path, name, block(f"RUN-{at}", '{"q":%d}' % at, [E2]) + "\n")
+    runs, errors = read_corpus(spark, str(tmp_path))
+    assert sorted(r["run_id"] for r in runs.collect()) == ["RUN-0", "RUN-1", "RUN-2"] and errors.count() == 3
+
+
+def test_the_last_section_of_a_name_counts(spark, tmp_path):
+    text = block("RUN-1", '{"q":1}', [E1]).replace("[/CONFIG]", '[/CONFIG]\n[CONFIG]\n{"q":2}\n[/CONFIG]')
+    write(tmp_path, "a.log", text + "\n")
+    assert [r["q"] for r in logs.read_logs(spark, str(tmp_path))[0].collect()] == [2]
