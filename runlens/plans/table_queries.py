@@ -211,7 +211,7 @@ def _banner_text(spark, sf):
 def banner_discovery(spark, sf):
     lines = _banner_text(spark, sf).select(F.explode(F.split("value", "\n")).alias("value"))
     # The blocks hold other frequent lines; keep banner and free-text lines.
-    return tolerant.banner_shape(lines.where("not startswith(value, 'segment : again') and not startswith(value, '{')"))
+    return tolerant.banner_shape(lines.where("not startswith(value, 'segment : again') and not startswith(value, '{')")).drop("indent")
 
 
 @query(
