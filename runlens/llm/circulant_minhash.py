@@ -16,13 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, stored
+from .common import buckets_for, discard, stored
 from .components import least_reachable
 from .hashing import STEP, U, mixed, word_chunks
 
 SHINGLE = 5
 BANDS, ROWS = 32, 6
 SIMILARITY = 85  # percent
+BLOCK = 1_000_000  # shingles of a group that are compared in one block
 
 SKETCH = "doc_id long, n_shingles long, digest binary, bands array<long>"
 SETS = "node long, shingles array<long>"
@@ -119,6 +120,108 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
+def _prefix_pairs(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """Pairs of rows that can be similar enough, smaller row first, in batches that may repeat pairs.
+
+    Elements are ranked by rarity. Of two similar sets, the ones that are rarest, as many as may be missing plus one, have
+    an element in common. ``sides`` tells chunks apart: if there are two, only pairs across are wanted.
+    """
+    sizes = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    rarity = np.empty(len(counts), dtype=np.int64)
+    rarity[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    ranks, row = rarity[np.ravel(inverse)], np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((ranks, row))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    prefix = sizes - -(-sizes * percent // 100) + 1
+    use = place < np.repeat(prefix, sizes)
+    ranks, row = ranks[order][use], row[order][use]
+    by = np.lexsort((sizes[row], ranks))
+    ranks, row = ranks[by], row[by]
+    ends = np.append(np.flatnonzero(np.diff(ranks)) + 1, len(ranks))
+    end_of = np.repeat(ends, np.diff(np.append(0, ends)))
+    across = len(np.unique(sides)) > 1
+    for step in range(1, len(row)):  # each element of a list of postings against the one ``step`` further on
+        at = np.flatnonzero(np.arange(len(row)) + step < end_of)
+        if not len(at):
+            return
+        a, b = row[at], row[at + step]
+        good = 100 * sizes[a] >= percent * sizes[b]
+        if across:
+            good &= sides[a] != sides[b]
+        yield np.stack([a[good], b[good]])
+
+
+def _shared_bits(sets: list[np.ndarray], width: int = 1 << 15) -> list[np.ndarray]:
+    """For ``width`` elements at a time that more than one set holds: which sets (rows) hold them, as bits."""
+    sizes = [len(x) for x in sets]
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[np.ravel(inverse)]
+    row = np.repeat(np.arange(len(sets)), sizes)[number >= 0]
+    number, out = number[number >= 0], []
+    for low in range(0, int(number.max()) + 1 if len(number) else 0, width):
+        use = (number >= low) & (number < low + width)
+        held = np.zeros((len(sets), min(width, int(number.max()) + 1 - low)), dtype=bool)
+        held[row[use], number[use] - low] = True
+        out.append(np.packbits(held, axis=1))
+    return out
+
+
+def _shared_counts(masks: list[np.ndarray], pairs: np.ndarray, batch: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets."""
+    out = np.zeros(pairs.shape[1], dtype=np.int64)
+    for mask in masks:
+        for at in range(0, len(out), batch):
+            a, b = pairs[:, at : at + batch]
+            out[at : at + batch] += np.bitwise_count(mask[a] & mask[b]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _block_verifier(percent: int):
+    """Links between different components in each block of a group: enough of them to join what belongs together."""
+
+    def links_of(sets: list[np.ndarray], nodes: list[int], labels: list[int], sides: np.ndarray) -> Iterator[tuple[int, int]]:
+        root = {x: x for x in labels}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        sizes = np.array([len(x) for x in sets])
+        place = {x: i for i, x in enumerate(root)}
+        names = list(place)
+        own = np.array([place[x] for x in labels])
+        masks = _shared_bits(sets)
+        for pairs in _prefix_pairs(sets, sides, percent):
+            roots = np.array([place[find(x)] for x in names])[own]
+            pairs = np.unique(pairs[:, roots[pairs[0]] != roots[pairs[1]]], axis=1)
+            shared = _shared_counts(masks, pairs)
+            similar = 100 * shared >= percent * (sizes[pairs[0]] + sizes[pairs[1]] - shared)
+            for a, b in zip(*pairs[:, similar].tolist()):
+                p, q = find(labels[a]), find(labels[b])
+                if p != q:
+                    root[p] = q
+                    yield nodes[a], nodes[b]
+
+    def verify(rows: pa.Table) -> pa.Table:
+        columns = [rows.column(c).to_numpy() for c in ("leader", "low", "high")]
+        order = np.lexsort(columns[::-1])
+        change = np.any([np.diff(c[order]) != 0 for c in columns], axis=0)
+        nodes, labels, chunks = (rows.column(c).to_numpy() for c in ("node", "label", "chunk"))
+        lists, out = rows.column("shingles").combine_chunks(), []
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        for part in np.split(order, np.flatnonzero(change) + 1):
+            if len(part) > 1:
+                sets = [lists[int(i)].values.to_numpy() for i in part]
+                out += links_of(sets, nodes[part].tolist(), labels[part].tolist(), chunks[part])
+        u, v = zip(*out) if out else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return verify
+
+
 def _size_fits(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -139,7 +242,7 @@ def near_duplicates(
     named = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
 
     # Equal sets are one node, called by the smallest doc_id.
-    nodes = named.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    nodes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("node")), "minhash-digests")
     member = stored(
         sketch.join(nodes, (sketch.digest == nodes.digest) & (sketch.n_shingles > 0) & sketch.doc_id.isNotNull(), "left")
         .select("doc_id", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands")),
@@ -174,22 +277,25 @@ def near_duplicates(
     stars = stored(_verified(stars, sets, percent), "minhash-stars")
     labels = stored(least_reachable(stars), "minhash-labels")
 
-    # Then whatever a bucket holds besides its largest component, against all nodes of that bucket.
-    held = hits.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    groups = held.groupBy("key", "label").agg(F.count("*").alias("m"))
-    main = groups.groupBy("key").agg(F.max(F.struct("m", "label")).alias("main"), F.count("*").alias("g")).where("g > 1")
-    held = stored(held.join(main, "key").select("key", "node", "n", "label", F.col("main.label").alias("main")), "minhash-held")
-    one = held.where("label <> main").select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu"))
-    other = held.select(F.col("key").alias("k"), F.col("node").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"), "main")
-    rest = (
-        one.join(other, (F.col("key") == F.col("k")) & (F.col("lu") != F.col("lv")) & _size_fits("nu", "nv", percent)
-                 & ((F.col("lv") == F.col("main")) | (F.col("u") < F.col("v"))))
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        .distinct()
+    # Then all that share a bucket but not yet a component. A leader's group holds every node of its buckets, so pairs of a
+    # bucket meet there once, however many bands they share; groups come in blocks of bounded size.
+    held = hits.join(leaders, "key").select((-F.col("top.minus")).alias("leader"), "node", "n").distinct()
+    held = held.join(labels, "node", "left").select("leader", "node", "n", F.coalesce("label", "node").alias("label"))
+    held = stored(held, "minhash-held")
+    split = held.groupBy("leader").agg(
+        (F.min("label") < F.max("label")).alias("open"), F.ceil(F.sum("n") / BLOCK).alias("blocks")
+    ).where("open").select("leader", "blocks")
+    held = held.join(split, "leader").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    held = held.withColumn("other", other).select(
+        "leader", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "label"
     )
-    links = stored(_verified(rest, sets, percent).unionByName(stars), "minhash-links")
+    size = hits.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = held.join(sets, "node").withColumn("task", F.pmod(F.xxhash64("leader", "low", "high"), F.lit(buckets_for(size, BLOCK * 8))))
+    found = met.groupBy("task").applyInArrow(_block_verifier(percent), "u long, v long")
+    links = stored(found.unionByName(stars), "minhash-links")
     labels = stored(least_reachable(links), "minhash-components")
-    discard(sketch, hits, sets, stars, held, links)
+    discard(sketch, hits, sets, stars, links)
 
     named = labels.withColumnRenamed("node", "l")
     return member.join(named, F.col("node") == F.col("l"), "left").select(
