@@ -48,8 +48,12 @@ PATTERN = re.compile(
     r"|(?P<id>(?<!\d)\d{3}-\d{2}-\d{4}(?!\d))"
     rf"|\b(?P<title>{'|'.join(TITLES)})\b\.?[ ](?P<name>{_NAME}(?:[ ]{_NAME})?)"
 )
-# What any match holds, for a cheap test in Spark before Python sees the text.
-LIKELY = r"@|[0-9]{2}|[A-Za-z0-9_-]{24}|(?:" + "|".join(TITLES) + r")\.? \p{Lu}"
+# What any match holds, for a test in Spark before Python sees the text: an at sign, a digit with enough around it, or
+# a title. Each branch begins with one set of characters, so that most characters of a text fail at once.
+LIKELY = (
+    r"@|[0-9](?:[0-9A-Za-z._-]{4}|[0-9]{3}|(?<=[A-Za-z0-9_-]{21}))"
+    rf"|[{''.join(sorted({t[0] for t in TITLES}))}](?<=(?:^|[^\p{{L}}]).)(?:{'|'.join(t[1:] for t in TITLES)})\.? \p{{Lu}}"
+)
 
 
 def script_of(name: str) -> str:
@@ -223,7 +227,7 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     """
     likely = F.coalesce(F.col("text").rlike(LIKELY), F.lit(False))
     clean = docs.where(~likely).withColumn("n_replaced", F.lit(0).cast("long"))
-    rest = docs.where(likely)
+    rest = stored(docs.where(likely), "surrogate-texts")
     ident = [F.xxhash64("text").alias("key"), F.length("text").cast("long").alias("chars")]
     found = rest.select(*ident, "text").mapInArrow(_finder, "key long, chars long, kind string, value string")
     found = stored(found.distinct(), "mentions")
