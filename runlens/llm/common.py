@@ -65,11 +65,11 @@ def running_start(df: DataFrame, group: Sequence[str], order: Sequence[str], wei
     """Add ``out``: the sum of ``weight`` over all earlier rows of the same group.
 
     Rows of a group are ordered by a hash bucket and then by ``order``; each bucket holds some
-    20,000 rows of ``rows``, so a group that holds most of the table is spread over many tasks. Only one
+    2,000 rows of ``rows``, so a group that holds most of the table is spread over many tasks. Only one
     total per (group, bucket) goes to the window over the whole group. ``order`` must tell rows apart
     unless they are interchangeable. ``df`` is read twice and should be stored.
     """
-    n = buckets_for(rows)
+    n = buckets_for(rows, 2_000)
     df = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(n)).cast("int"))
     keys = [*group, "__bucket"]
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

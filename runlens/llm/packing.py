@@ -8,8 +8,10 @@ end, cut where a window ends; the last, partial window is cut to powers of two,
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,29 +39,54 @@ def tokenizer_path(name: str = FILE) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """Byte strings of a byte-level BPE file by id, if ids follow the order of its merges; else None."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocabulary, merges = model.get("vocab", {}), model.get("merges", [])
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spelt = {chr(b): b for b in plain}
+    spelt |= {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in merges]
+    if model.get("type") != "BPE" or any(vocabulary.get(m) != 256 + i for i, m in enumerate(merged)):
+        return None
+    tokens = [t for t in vocabulary if t != SPECIAL]
+    if not all(c in spelt for t in tokens for c in t):
+        return None
+    return {bytes(spelt[c] for c in t): vocabulary[t] for t in tokens}
+
+
 class PartIds(dict):
-    """Ids of a part as little-endian 16-bit numbers; parts seen lately are remembered."""
+    """Ids of a part as little-endian 16-bit numbers; parts seen lately are remembered.
 
-    def __init__(self, path: str, most: int = 300_000):
+    A part that is new goes to the faster of two libraries if it can take over the file's merges; the ids are the same.
+    """
+
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
-        self.most = most
+        self.most, self.encode = most, self.slow
+        if (ranks := byte_ranks(path)) is not None:
+            import public_tokenizers
+            import tiktoken
+
+            self.encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+    def slow(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        ids = self[part] = self.whole(part)
+        ids = self[part] = array("H", self.encode(part)).tobytes()
         return ids
 
     def of(self, text: str) -> bytes:
         if SPECIAL in text:
-            return self.whole(text)
+            return array("H", self.slow(text)).tobytes()
         return b"".join(map(self.__getitem__, PART.findall(text)))
 
 
@@ -262,8 +289,10 @@ def packed(docs: DataFrame, path: str | None = None, window: int = WINDOW, step:
         "doc_id", "tie", (F.col("start") + low - F.col("at")).alias("start"), (high - low).alias("length"),
         (F.lit(next_id) + F.col("w") + F.col("cut.k")).cast("long").alias("sequence_id"), (low - left).alias("offset"))
 
-    pieces = whole.unionByName(seated).unionByName(loose).groupBy(F.col("doc_id").alias("d"), F.col("tie").alias("t")).agg(
+    # Keys without nulls, so that the join finds both sides dealt as it needs them.
+    key = {"k": F.coalesce("doc_id", F.lit(0)), "is_null": F.isnull("doc_id")}
+    pieces = whole.unionByName(seated).unionByName(loose).withColumns(key).groupBy("k", "is_null", "tie").agg(
         F.sort_array(F.collect_list(F.struct("start", "length", "sequence_id", "offset"))).alias("pieces"))
-    found = tokens.dropDuplicates(["doc_id", "tie"]).join(pieces, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")))
+    found = tokens.withColumns(key).dropDuplicates(["k", "is_null", "tie"]).join(pieces, ["k", "is_null", "tie"])
     kind = PACKED if with_ids else PACKED.rpartition(",")[0]
     return found.select("doc_id", "n_tokens", "ids", "pieces").mapInArrow(_cutter(with_ids), kind)
