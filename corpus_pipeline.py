@@ -14,7 +14,7 @@ from runlens.llm.common import stored, table
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass all quality rules; a null or empty text does not."""
-    return quality_rules.judged(docs).where("kept").select(*docs.columns)
+    return quality_rules.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
