@@ -123,7 +123,9 @@ def mix(sizes: DataFrame, block: int = BLOCK, shard: int = SHARD, most: int = MO
     low = F.greatest(F.col("block") * block, F.col("start"))
     high = F.least(F.col("block") * block + block, F.col("start") + F.col("size"))
     pieces = pieces.select("number", "block", "start", (low - F.col("start")).alias("from"), (high - low).alias("n_words"))
-    return docs, pieces.join(_tickets(sources, block, shard, most, seed), ["number", "block"]).select(
+    # Spark takes the tickets for as small as the sources they are expanded from, and would broadcast them.
+    tickets = _tickets(sources, block, shard, most, seed).hint("merge")
+    return docs, pieces.join(tickets, ["number", "block"]).select(
         "shard", "slot", "number", "start", "pass", "from", "n_words"
     )
 
