@@ -207,7 +207,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, degree: int = D
     # Each block of the stated queries meets each shard: pairs of (shard, block) are listed, not rows.
     pairs = graphs.select("shard").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn(
         "block", F.struct((F.col("shard") % 1000).alias("d"), F.col("b").cast("long").alias("b")))
-    work = pairs.join(blocks, "block").join(graphs, "shard").repartition(max(1, n_shards * n_blocks), "shard", "block.b")
+    work = pairs.hint("merge").join(blocks, "block").hint("merge").join(graphs, "shard").repartition(max(1, n_shards * n_blocks), "shard", "block.b")
     found = work.mapInArrow(_searcher(search_beam, k + 1), "query_id long, node long")
 
     found = found.join(nodes.select("node", "hash", F.col("vector").alias("v")), "node").join(asked, "query_id")
