@@ -137,3 +137,51 @@ def test_mentions_are_ordered_and_inside(text):
     for a, b, _, value in surrogates.mentions(text):
         assert last <= a < b <= len(text) and value
         last = b
+
+
+DIGITS = ["0123456789", "٠١٢٣٤٥٦٧٨٩", "०१२३४५६७८९", "𝟎𝟏𝟐𝟑𝟒𝟓𝟔𝟕𝟖𝟗"]
+
+
+def entities(rng):
+    """One written entity of each type, by name."""
+    ten = rng.choice(DIGITS) if rng.random() < 0.3 else DIGITS[0]
+    d = lambda n: "".join(rng.choice(ten) for _ in range(n))
+    of = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    sep = rng.choice(" .-")
+    low, high = "abcdefghij", "ABCDEFGHIJ"
+    n = rng.randrange(24, 40)
+    at = rng.randrange(n)
+    return {
+        "email": of(low, rng.randrange(1, 9)) + "@" + of(low, 4) + ".org",
+        "secret": of(low + high + "_-", at) + of(low, 1) + of(DIGITS[0], 1) + of(low + high + "_-", n - at) + of(low, 1),
+        "akia": "AKIA" + of(high, 16),
+        "iban": of(high, 2) + d(2) + "".join(rng.choice(["", " "]) + of(high + DIGITS[0], 4) for _ in range(rng.randrange(3, 8))),
+        "ip": ".".join(str(rng.randrange(256)) for _ in range(4)),
+        "account": d(4) + rng.choice(["", " ", "-"]) + d(4) + rng.choice(["", " ", "-"]) + d(4) + rng.choice(["", " ", "-"]) + d(rng.randrange(1, 8)),
+        "phone": rng.choice(["", "+"]) + rng.choice(["", d(rng.randrange(1, 4)) + sep]) + rng.choice(["{}", "({})"]).format(d(rng.randrange(2, 5)))
+        + sep + d(rng.randrange(3, 5)) + sep + d(rng.randrange(3, 5)),
+        "id": d(3) + "-" + d(2) + "-" + d(4),
+        "name": rng.choice(list(surrogates.TITLES)) + rng.choice(["", "."]) + " " + rng.choice(["Anna", "王小明", "анна", "김철수", "Ωμέγα", "أحمد", "Łukasz"]),
+    }
+
+
+def test_no_text_with_a_mention_skips_detection(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = ["+34 612 345 678", "+61 412 345 678", "+420 601 234 567", "612 345 678", "(02) 123 456", "Dr 王小明", "госпожа анна", "٠١٢-٣٤-٥٦٧٨", "a" * 24 + "𝟏"]
+    assert all(surrogates.mentions(t) for t in texts)
+    taken = collections.Counter()
+    for _ in range(1000):
+        for kind, entity in entities(rng).items():
+            text = rng.choice(["", "x ", "\n", "«", "see: "]) + entity + rng.choice(["", " x", ".", "\n", "»"])
+            taken[kind] += bool(surrogates.mentions(text))
+            texts.append(text)
+    assert min(taken.values()) > 300 and len(taken) == 9, taken
+    rows = [(i, t) for i, t in enumerate(texts) if surrogates.mentions(t)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["text"] for r in frame.where(~frame.text.rlike(surrogates.LIKELY)).collect()] == []
+    new = surrogates.written_as("٠١٢-٣٤-٥٦٧٨", "id", "987654321")
+    assert new == "٩٨٧-٦٥-٤٣٢١" and surrogates.mentions("٠١٢-٣٤-٥٦٧٨")[0][3] == "012345678"
+    out = {r["doc_id"]: r["n_replaced"] for r in surrogates.with_surrogates(frame.where("doc_id < 9")).collect()}
+    assert len(out) == 9 and min(out.values()) > 0
