@@ -23,7 +23,7 @@ ALPHA = 1.2
 SHARD = 4096  # vectors
 BLOCK = 512  # queries
 
-GRAPH = "shard int, start int, edges binary, ids binary, vectors binary"
+GRAPH = "d int, shard int, start int, edges binary, ids binary, vectors binary"
 
 
 def _distances(points: np.ndarray, queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -138,6 +138,7 @@ def _graph_maker(degree: int, beam: int, alpha: float):
         edges, start = build_graph(points, degree, beam, alpha)
         ids = rows.column("node").to_numpy().astype(np.int64)
         return pa.table({
+            "d": pa.array([rows.column("d")[0].as_py()], pa.int32()),
             "shard": pa.array([rows.column("shard")[0].as_py()], pa.int32()), "start": pa.array([start], pa.int32()),
             "edges": pa.array([edges.astype(np.int32).tobytes()]), "ids": pa.array([ids.tobytes()]), "vectors": pa.array([points.tobytes()]),
         })
@@ -195,8 +196,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, degree: int = D
     nodes = copies.where("copy = 1").select(F.col("vec_id").alias("node"), "vector", "hash")
     total = nodes.count()
     n_shards = max(1, -(-total // shard))
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.size("vector"), "hash"), F.lit(n_shards)).cast("int") * 1000 + F.least(F.size("vector"), F.lit(999)))
-    graphs = dealt.select("shard", "node", "vector").groupBy("shard").applyInArrow(_graph_maker(degree, beam, alpha), GRAPH)
+    dealt = nodes.withColumns({"d": F.size("vector"), "shard": F.pmod(F.xxhash64(F.size("vector"), "hash"), F.lit(n_shards)).cast("int")})
+    graphs = dealt.select("d", "shard", "node", "vector").groupBy("d", "shard").applyInArrow(_graph_maker(degree, beam, alpha), GRAPH)
     graphs = stored(graphs, "ann-graphs")
 
     asked = stored(usable(queries).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("vector_q")).dropDuplicates(["query_id"]), "ann-queries")
@@ -205,9 +206,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, degree: int = D
     blocks = blocks.groupBy("block").agg(F.collect_list(F.struct("query_id", F.transform("vector_q", lambda x: x.cast("float")).alias("v"))).alias("q"))
     blocks = blocks.select("block", F.col("q.query_id").alias("query_ids"), F.col("q.v").alias("vectors_q"))
     # Each block of the stated queries meets each shard: pairs of (shard, block) are listed, not rows.
-    pairs = graphs.select("shard").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn(
-        "block", F.struct((F.col("shard") % 1000).alias("d"), F.col("b").cast("long").alias("b")))
-    work = pairs.hint("merge").join(blocks, "block").hint("merge").join(graphs, "shard").repartition(max(1, n_shards * n_blocks), "shard", "block.b")
+    pairs = graphs.select("d", "shard").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn(
+        "block", F.struct("d", F.col("b").cast("long").alias("b")))
+    work = pairs.hint("merge").join(blocks, "block").hint("merge").join(graphs, ["d", "shard"]).repartition(max(1, n_shards * n_blocks), "d", "shard", "block.b")
     found = work.mapInArrow(_searcher(search_beam, k + 1), "query_id long, node long")
 
     found = found.join(nodes.select("node", "hash", F.col("vector").alias("v")), "node").join(asked, "query_id")

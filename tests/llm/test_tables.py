@@ -107,6 +107,18 @@ def test_neighbours_of_awkward_vectors(spark):
     assert graph_neighbours.nearest(spark.createDataFrame([], VECTORS), frame).count() == 0
 
 
+def test_neighbours_of_long_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=(998, 999, 1000, 1024)[i % 4]).tolist()) for i in range(160)]
+    frame = spark.createDataFrame([(i, v, 0, 1) for i, v in rows], VECTORS)
+    asked = frame.where("vec_id % 10 < 4")
+    want = _brute(rows, [i for i, _ in rows if i % 10 < 4])
+    got = collections.defaultdict(set)
+    for r in graph_neighbours.nearest(frame, asked, shard=50, block=8).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert got == {q: {i for _, i in v} for q, v in want.items()}
+
+
 def test_neighbours_recall(spark):
     sf = "/root/testdata/sf0.1"
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
