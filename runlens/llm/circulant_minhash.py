@@ -306,11 +306,11 @@ def near_duplicates(
     )
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, all columns.
 
     A document that comes in several kept rows stays once if its doc_id is not null.
     """
-    marks = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__dropped")).distinct()
+    marks = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("__dropped")).distinct()
     stay = docs.join(marks, F.col("doc_id") == F.col("__dropped"), "left_anti")
     return stay.where("doc_id IS NULL").unionByName(stay.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))

@@ -2,13 +2,15 @@
 
 import collections
 import math
+import re
 import zlib
 
+import duckdb
 import helpers as h
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
-from runlens.llm import graph_neighbours, html_wrapper, mixing, packing, pu_quality, queries
+from runlens.llm import graph_neighbours, html_wrapper, mixing, packing, pu_quality, quality_rules, queries, surrogates
 from runlens.llm.common import stored
 
 
@@ -242,3 +244,52 @@ def test_pipeline_stages(spark):
         counts.append(docs.count())
     assert first.count() > counts[0] > counts[1] == counts[2] > 0
     assert stored(corpus_pipeline.STAGES[-1][1](spark, docs, sf), "t").agg({"length": "sum"}).first()[0] > 0
+
+
+def _near_copies_left(rows, percent):
+    """The rows that stay when all pairs are compared."""
+    sets = []
+    for _, t in rows:
+        w = h.words(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    low = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b) and low[i] != low[j]:
+                low = [min(low[i], low[j]) if x in (low[i], low[j]) else x for x in low]
+    return [r for i, r in enumerate(rows) if low[i] == i]
+
+
+def test_near_duplicate_stage_drops_copies_of_similarity_080(spark):
+    import corpus_pipeline
+
+    base = h.prose(40, 204).split()  # 200 runs of five words
+    rows = [(0, " ".join(base))]
+    for i, edits in enumerate((3, 4, 5, 6), 1):  # 15 to 30 runs changed: similarities of 0.86, 0.82, 0.78, 0.74
+        own = list(base)
+        for j in range(edits):
+            own[10 + 30 * j] = f"edit{i}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(map(tuple, got)) == _near_copies_left(rows, 80) != _near_copies_left(rows, 85)
+
+
+def test_first_stages_equal_brute_force(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id")
+    kept = stored(corpus_pipeline.rules(spark, docs, sf), "t")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    want = con.execute(f"SELECT doc_id FROM ({quality_rules.verdicts_sql()}) WHERE kept ORDER BY doc_id").fetchall()
+    rows = [(r["doc_id"], r["text"]) for r in kept.orderBy("doc_id").collect()]
+    assert [(d,) for d, _ in rows] == want
+    single = stored(corpus_pipeline.near_duplicates(spark, kept, sf), "t")
+    left = sorted((r["doc_id"], r["text"]) for r in single.collect())
+    assert left == _near_copies_left(rows, 80)
+    for r, (d, old) in zip(corpus_pipeline.personal_data(spark, single, sf).orderBy("doc_id").collect(), left, strict=True):
+        found = surrogates.mentions(old)
+        assert r["doc_id"] == d and r["n_chars"] == len(r["text"]) and (found or r["text"] == old)
+        assert not any(re.search(rf"(?<!\w){re.escape(old[a:b])}(?!\w)", r["text"]) for a, b, _, _ in found)
