@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,12 +17,14 @@ from .common import SPACES, text_or_empty, words
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ"
 # Frequent function words of English, French, German and Spanish.
-STOP_WORDS = (
-    "the of and to in a is that it for was on are as with be by this from at or an not have "
-    "le la les de des du et en un une est que qui dans pour pas sur au par avec "
-    "der die das und ist von zu den mit sich auf für nicht ein eine dem im "
-    "el los las y del se una por con para su al lo como más no"
-).split()
+LANGUAGES = [line.split() for line in (
+    "the of and to in a is that it for was on are as with be by this from at or an not have",
+    "le la les de des du et en un une est que qui dans pour pas sur au par avec",
+    "der die das und ist von zu den mit sich auf für nicht ein eine dem im",
+    "el los las y del se una por con para su al lo como más no",
+)]
+STOP_WORDS = [w for language in LANGUAGES for w in language]
+LETTERS = "A-Za-zàâäáçéèêëîïíñóôöùúûüÿßœæÀÂÄÁÇÉÈÊËÎÏÍÑÓÔÖÙÚÛÜŸẞŒÆ"  # of these languages
 
 
 @dataclass(frozen=True)
@@ -31,6 +35,7 @@ class Rule:
     expression: str
     low: float | None = None
     high: float | None = None
+    listed_only: bool = False  # holds only for texts that are shown to be in one of LANGUAGES
 
     def passes(self) -> str:
         parts = [f"({self.expression}) >= {self.low}"] * (self.low is not None)
@@ -49,7 +54,7 @@ RULES = (
     Rule("symbols", "100 * n_symbols - 15 * n_words", high=0),
     Rule("exclamations", "100 * n_exclamations - 15 * n_words", high=0),
     Rule("capitals", "100 * n_capitals - 30 * word_chars", high=0),
-    Rule("stop_words", "100 * n_stop_words - 4 * n_words", low=0),
+    Rule("stop_words", "100 * n_stop_words - 4 * n_words", low=0, listed_only=True),
     Rule("duplicate_lines", "100 * n_dup_lines - 40 * n_lines", high=0),
     Rule("bullet_lines", "100 * n_bullet_lines - 90 * n_lines", high=0),
 )
@@ -104,17 +109,36 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     return df.drop("__words", "__lines", "__grams", "__again")
 
 
+def in_a_listed_language(text: str = "text") -> Column:
+    """Whether a text has five different function words of one of LANGUAGES, as 2 % of its words or more, and hardly a letter
+    that none of them writes. Other texts may be in any language, so a lack of known words says nothing about them."""
+    body = text_or_empty(text)
+    own = F.transform(words(body), lambda w: F.lower(w))
+
+    def known(language: list[str]) -> Column:
+        found = F.filter(own, lambda w: w.isin(*language))
+        return (F.size(F.array_distinct(found)) >= 5) & (100 * F.size(found) >= 2 * F.size(own))
+
+    foreign = F.length(F.regexp_replace(body, rf"[^\p{{L}}]|[{LETTERS}]", ""))
+    return F.greatest(*map(known, LANGUAGES)) & (100 * foreign <= F.length(F.translate(body, SPACES, "")))
+
+
+def _holds(rule: Rule, text: str) -> Column:
+    passes = F.expr(rule.passes())
+    return passes | ~in_a_listed_language(text) if rule.listed_only else passes
+
+
 def judged(df: DataFrame, base: Sequence[Rule] = BASE, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """Add the metrics, ``base_failed``, ``failed_rules`` (names, in table order) and ``kept`` to every row.
 
     Null and empty texts have all metrics 0 and fail the length rule. Repeated rows are judged alike.
     """
     df = measured(df, text)
-    failed = F.filter(F.array(*[F.when(~F.expr(r.passes()), r.name) for r in (*base, *rules)]), lambda x: x.isNotNull())
+    failed = F.filter(F.array(*[F.when(~_holds(r, text), r.name) for r in (*base, *rules)]), lambda x: x.isNotNull())
     return df.withColumns({
         "base_failed": ~F.expr(" AND ".join(r.passes() for r in base)),
         "failed_rules": failed,
-        "kept": F.expr(" AND ".join(r.passes() for r in (*base, *rules))),
+        "kept": reduce(and_, [_holds(r, text) for r in (*base, *rules)], F.lit(True)),
     })
 
 
@@ -132,7 +156,10 @@ METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def verdicts_sql(source: str = "documents") -> str:
-    """DuckDB SQL for :func:`judged` over ``source``, as doc_id, all metrics, ``base_failed`` and ``kept``."""
+    """DuckDB SQL for :func:`judged` over ``source``, as doc_id, all metrics, ``base_failed`` and ``kept``.
+
+    It holds every rule for every text, so it fits only texts in one of LANGUAGES.
+    """
     space = r"[\x20\x09-\x0D]"
     strip = f"regexp_replace(t, '{space}', '', 'g')"
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)

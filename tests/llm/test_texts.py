@@ -185,3 +185,28 @@ def test_no_text_with_a_mention_skips_detection(spark):
     assert new == "٩٨٧-٦٥-٤٣٢١" and surrogates.mentions("٠١٢-٣٤-٥٦٧٨")[0][3] == "012345678"
     out = {r["doc_id"]: r["n_replaced"] for r in surrogates.with_surrogates(frame.where("doc_id < 9")).collect()}
     assert len(out) == 9 and min(out.values()) > 0
+
+
+def test_clean_texts_in_other_languages_are_kept(spark):
+    lines = {
+        "ru": "вчера вечером мы долго гуляли вдоль реки и говорили о книгах которые читали летом на даче у моря",
+        "el": "χθες το βράδυ περπατήσαμε δίπλα στο ποτάμι και μιλήσαμε για τα βιβλία που διαβάσαμε το καλοκαίρι",
+        "pl": "wczoraj wieczorem długo spacerowaliśmy wzdłuż rzeki rozmawiając o książkach które czytaliśmy latem nad morzem",
+        "tr": "dün akşam nehir boyunca uzun uzun yürüdük yazın deniz kenarında okuduğumuz kitaplar hakkında konuştuk",
+        "ar": "مشينا مساء أمس طويلا على ضفة النهر وتحدثنا عن الكتب التي قرأناها في الصيف قرب البحر",
+        "ko": "어제 저녁 우리는 강가를 오래 걸으며 여름에 바닷가에서 읽은 책들에 대해 이야기를 나누었다",
+        "id": "kemarin malam kami berjalan lama menyusuri sungai sambil membicarakan buku yang kami baca saat musim panas",
+    }
+    rows = []
+    for lang, line in lines.items():
+        w = line.split()
+        for k in range(3):
+            own = 5 * w
+            h.random.Random(k).shuffle(own)  # so that no run of words repeats
+            rows.append((lang, " ".join(own)))
+    list_of_terms = " ".join(f"cheap{i} shoes{i} buy{i} shop{i} deal{i} sale{i}" for i in range(27)) + " the of and to in"
+    rows.append(("terms", list_of_terms))
+    out = quality_rules.judged(spark.createDataFrame(rows, "lang string, text string")).collect()
+    assert {r["lang"]: r["failed_rules"] for r in out if r["lang"] != "terms"} == {lang: [] for lang in lines}
+    assert all(r["kept"] == (r["lang"] != "terms") for r in out)
+    assert [r["failed_rules"] for r in out if r["lang"] == "terms"] == [["stop_words"]]
