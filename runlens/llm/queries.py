@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    chat_format, circulant_minhash, graph_neighbours, html_wrapper, mixing, packing, pu_quality, quality_rules, suffix_repeats, surrogates,
+    chat_format, circulant_minhash, fill_in_middle, graph_neighbours, html_wrapper, mixing, packing, pu_quality, quality_rules,
+    suffix_repeats, surrogates,
 )
 from .common import stored, table
 
@@ -127,3 +128,8 @@ def op3_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
     return pu_quality.quality_scores(docs, labels.select("doc_id", "quality"))[0]
+
+
+@query("op13_fill_in_middle", fill_in_middle.digests_sql())
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
