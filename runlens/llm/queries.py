@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
     chat_format, circulant_minhash, fill_in_middle, graph_neighbours, html_wrapper, mixing, packing, pu_quality, quality_rules,
-    suffix_repeats, surrogates,
+    suffix_repeats, surrogates, url_filter,
 )
 from .common import stored, table
 
@@ -133,3 +133,11 @@ def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_fill_in_middle", fill_in_middle.digests_sql())
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP12_RULES = url_filter.rules_of(["allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/"])
+
+
+@query("op12_url_filter")
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"), OP12_RULES)
