@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    chat_format, circulant_minhash, fill_in_middle, graph_neighbours, html_wrapper, mixing, packing, pu_quality, quality_rules,
+    chat_format, circulant_minhash, conversation_trie, fill_in_middle, graph_neighbours, html_wrapper, mixing, packing, pu_quality, quality_rules,
     suffix_repeats, surrogates, url_filter,
 )
 from .common import stored, table
@@ -141,3 +141,8 @@ OP12_RULES = url_filter.rules_of(["allow org/", "block example.org/es/", "block
 @query("op12_url_filter")
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"), OP12_RULES)
+
+
+@query("op11_conversation_trie", conversation_trie.TRIE_SQL)
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.shared_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
