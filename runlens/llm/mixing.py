@@ -8,6 +8,8 @@ block numbers, and blocks join the slots by number.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -22,6 +24,7 @@ MOST_PASSES = 3
 WEIGHTS = (1, 2, 3)
 ROUNDS = 4
 STRIDE = 10_000  # tickets that one row is expanded to
+TASK = 20  # such rows that one task expands, about
 
 
 def permuted(index: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarray:
@@ -92,7 +95,9 @@ def _tickets(sources: DataFrame, block: int, shard: int, most: int, seed: int) -
         "first": F.coalesce(F.sum("n_tickets").over(before), F.lit(0)),
         "all": F.sum("n_tickets").over(Window.partitionBy(F.lit(0))),
     }).where("n_tickets > 0")
-    rows = rows.withColumn("from", F.explode(F.expr(f"sequence(0L, n_tickets - 1, {STRIDE}L)"))).repartition("number", "from")
+    # With a count of its own the shuffle is left as it is; else its few rows would be merged into one task, tickets and all.
+    strides = rows.agg(F.sum(F.ceil(F.col("n_tickets") / STRIDE))).first()[0] or 0
+    rows = rows.withColumn("from", F.explode(F.expr(f"sequence(0L, n_tickets - 1, {STRIDE}L)"))).repartition(math.ceil(strides / TASK) or 1, "number", "from")
     rows = rows.withColumn("ticket", F.explode(F.expr(f"sequence(from, least(from + {STRIDE}L, n_tickets) - 1)")))
     turn = F.floor(F.col("ticket") / F.col("n_blocks"))
     return (

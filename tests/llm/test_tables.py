@@ -10,6 +10,7 @@ import helpers as h
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 from runlens.llm import graph_neighbours, html_wrapper, mixing, packing, pu_quality, quality_rules, queries, surrogates
 from runlens.llm.common import stored
 
@@ -293,3 +294,17 @@ def test_first_stages_equal_brute_force(spark):
         found = surrogates.mentions(old)
         assert r["doc_id"] == d and r["n_chars"] == len(r["text"]) and (found or r["text"] == old)
         assert not any(re.search(rf"(?<!\w){re.escape(old[a:b])}(?!\w)", r["text"]) for a, b, _, _ in found)
+
+
+def test_tickets_are_dealt_over_tasks_by_their_number(spark):
+    size = 200_000_000  # words: over three million blocks
+    sources = spark.createDataFrame([("a", 0, size, float(size)), ("b", 1, 640, 640.0)], "source string, number long, source_size long, target double")
+    tickets = mixing._tickets(sources, mixing.BLOCK, mixing.SHARD, 3, 17)
+    per_task = [r["n"] for r in tickets.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(per_task) == size // 64 + 10
+    assert len(per_task) >= 10 and max(per_task) <= 4 * mixing.TASK * mixing.STRIDE
+
+
+def test_no_tickets(spark):
+    sources = spark.createDataFrame([], "source string, number long, source_size long, target double")
+    assert mixing._tickets(sources, mixing.BLOCK, mixing.SHARD, 3, 17).count() == 0
