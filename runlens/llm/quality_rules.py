@@ -143,13 +143,14 @@ def judged(df: DataFrame, base: Sequence[Rule] = BASE, rules: Sequence[Rule] = R
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """The rows that pass all rules, with their own columns.
+    """The rows that pass all rules, with their own columns, also those named like a metric.
 
     A filter on ``kept`` alone would be pushed below the metrics, with their definitions put in one another's place
     and worked out again for each use. A row number holds it above them.
     """
-    rows = judged(docs).withColumn("__row", F.monotonically_increasing_id())
-    return rows.where("kept AND __row >= 0").select(*docs.columns)
+    own = {c: f"__own_column_{i}" for i, c in enumerate(docs.columns)}
+    rows = judged(docs.select(*[F.col(c).alias(name) for c, name in own.items()], "text")).withColumn("__row", F.monotonically_increasing_id())
+    return rows.where("kept AND __row >= 0").select(*[F.col(name).alias(c) for c, name in own.items()])
 
 
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

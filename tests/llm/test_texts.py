@@ -28,6 +28,16 @@ def test_rules_compile_to_one_projection(spark):
     assert "Exchange" not in plan and "Python" not in plan and "Join" not in plan
 
 
+def test_passing_rows_keep_columns_named_like_metrics(spark):
+    text = ("the river and the stone of the house in light wind and rain " * 9 + "a road to it is long ").replace("stone", "stone {}")
+    text = " ".join(f"{w}{i}" if i % 3 else "the" for i, w in enumerate(text.split()))
+    docs = spark.createDataFrame([(1, text, 1, False, ["x"], 2), (2, "short", 3, True, None, 4)], "doc_id long, text string, n_words int, kept boolean, failed_rules array<string>, __own_0 int")
+    judged = {r["doc_id"]: r["kept"] for r in quality_rules.judged(docs.select("doc_id", "text")).collect()}
+    assert judged == {1: True, 2: False}
+    rows = quality_rules.passing(docs)
+    assert rows.schema == docs.schema and [tuple(r) for r in rows.collect()] == [(1, text, 1, False, ["x"], 2)]
+
+
 TURNS = "conv_id long, turn long, role string, text string, state string"
 
 
