@@ -1,4 +1,4 @@
-"""Risk and throughput models on MLlib, from feature frames to scored runs."""
+"""Risk and throughput models, from feature frames to scored runs: boosted trees of our own, baselines of MLlib."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from . import boosting
 from .rates import numeric
 from .scoring import stratified_split
 from .summary import failed
@@ -105,37 +105,45 @@ class RiskModel:
         return out.select(*keep, column)
 
 
-def _bins(encoder: Encoder) -> int:
-    """Bins must cover the widest categorical column (plus the code of unknown words)."""
-    widths = [len(labels) for labels in encoder.model.stages[0].labelsArray] if encoder.words else []
-    return max([32, *[w + 1 for w in widths]])
+@dataclass
+class BoostedModel:
+    """Boosted trees with the encoder of their settings."""
+
+    encoder: Encoder
+    model: boosting.BoostedTrees
+    features: list[str]
+
+    def margin(self, df: DataFrame, column: str = "margin") -> DataFrame:
+        """Add the sum of all trees: log-odds of failure, or the predicted value."""
+        out = self.model.margin(self.encoder.transform(df.withColumns({f"_raw_{c}": F.col(c) for c in self.encoder.words})))
+        raw = [F.col(f"_raw_{c}").alias(c) if c in self.encoder.words else F.col(c) for c in df.columns if c != column]
+        return out.select(*raw, F.col("_margin").alias(column))
+
+    def score(self, df: DataFrame, column: str = "risk", digits: int | None = None) -> DataFrame:
+        """Add the failure probability to every row."""
+        p = 1 / (1 + F.exp(-F.col(column)))
+        return self.margin(df, column).withColumn(column, F.round(p, digits) if digits else p)
+
+
+def _level_counts(encoder: Encoder) -> list[int]:
+    """Levels of each slot's words, 0 for numbers."""
+    labels = dict(zip(encoder.words, encoder.model.stages[0].labelsArray)) if encoder.words else {}
+    return [len(labels.get(f, ())) for f in encoder.features]
 
 
 def train_risk(
-    runs: DataFrame, features: list[str], rounds: int = 40, depth: int = 6, min_leaf: int = 25, seed: int = 42,
-    test_share: float = 0.2, validate: bool = True,
-) -> tuple[RiskModel, DataFrame]:
+    runs: DataFrame, features: list[str], rounds: int = 400, patience: int = 40, min_leaf: int = 25, seed: int = 42, test_share: float = 0.2,
+) -> tuple[BoostedModel, DataFrame]:
     """Boosted trees on the settings; returns the model and the marked runs (``is_test``).
 
-    The held-out rows also stop the boosting early. Words are ordinal-coded.
+    Held-out runs take no part in the fit; a tenth of the other configurations stops it. Words are ordinal-coded.
     """
     marked = stratified_split(runs, test_share, seed)
     encoder = ordinal_encoder(runs, features)
-    rows = marked.withColumn("label", failed().cast("double"))
-    if not validate:
-        rows = rows.where(~F.col("is_test"))
-    weighted = rows.groupBy(*features, "label", "is_test").agg(F.count("*").cast("double").alias(ROW_WEIGHT))
-    train = encoder.transform(weighted).select("features", "label", "is_test", ROW_WEIGHT).persist()
-    try:
-        total = max(train.agg(F.sum(ROW_WEIGHT)).first()[0] or 1.0, 1.0)
-        gbt = GBTClassifier(
-            maxIter=rounds, stepSize=0.05, maxDepth=depth, subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=seed,
-            minWeightFractionPerNode=min(min_leaf / total, 0.4), weightCol=ROW_WEIGHT, maxBins=_bins(encoder), validationTol=0.001, **({"validationIndicatorCol": "is_test"} if validate else {}),
-        )
-        model = gbt.fit(train)
-    finally:
-        train.unpersist()
-    return RiskModel(encoder, model, features), marked
+    rows = marked.where(~F.col("is_test")).withColumn("label", failed().cast("double"))
+    train = encoder.transform(collapsed(rows, features, "label"))
+    model = boosting.fit(train, _level_counts(encoder), "log", rounds=rounds, patience=patience, min_leaf=min_leaf, seed=seed)
+    return BoostedModel(encoder, model, features), marked
 
 
 BASELINES = {
@@ -187,24 +195,19 @@ def rolled_up_importances(raw: DataFrame, lineage: DataFrame) -> DataFrame:
     )
 
 
-def train_throughput(runs: DataFrame, features: list[str], rounds: int = 40, depth: int = 6, min_leaf: int = 25, seed: int = 42):
+def train_throughput(
+    runs: DataFrame, features: list[str], rounds: int = 350, patience: int = 40, min_leaf: int = 25, seed: int = 42,
+) -> BoostedModel:
     """Boosted regression of throughput on passing runs (on all runs when few pass).
 
-    Equal settings collapse to their mean throughput, weighted by their number.
+    Equal settings collapse to their mean throughput, weighted by their number; a tenth of them stops the rounds.
     """
     passing = runs.where(~failed())
-    base = passing if passing.limit(50).count() >= 50 else runs
+    base = (passing if passing.limit(50).count() >= 50 else runs).where("throughput_mbps is not null")
     encoder = ordinal_encoder(runs, features)
     grouped = base.groupBy(*features).agg(
         F.avg(F.col("throughput_mbps").cast("double")).alias("label"), F.count("*").cast("double").alias(ROW_WEIGHT)
     )
-    train = encoder.transform(grouped).select("features", "label", ROW_WEIGHT).persist()
-    try:
-        total = max(train.agg(F.sum(ROW_WEIGHT)).first()[0] or 1.0, 1.0)
-        model = GBTRegressor(
-            maxIter=rounds, stepSize=0.05, maxDepth=depth, seed=seed, weightCol=ROW_WEIGHT, maxBins=_bins(encoder),
-            minWeightFractionPerNode=min(min_leaf / total, 0.4),
-        ).fit(train)
-    finally:
-        train.unpersist()
-    return RiskModel(encoder, model, features)
+    train = encoder.transform(grouped)
+    model = boosting.fit(train, _level_counts(encoder), "square", rounds=rounds, patience=patience, min_leaf=min_leaf, row_share=1.0, column_share=1.0, seed=seed)
+    return BoostedModel(encoder, model, features)

@@ -25,7 +25,7 @@ def read_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame |
 
 
 def run_analysis(
-    runs: DataFrame, errors: DataFrame | None = None, max_risk: float = 0.02, n_trials: int = 2000, rounds: int = 40,
+    runs: DataFrame, errors: DataFrame | None = None, max_risk: float = 0.02, n_trials: int = 2000, rounds: int = 400,
     seed: int = 42, leaky: list[str] = (), eps: float = 0.35, min_samples: int = 1, recommender: bool = True,
 ) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """``(reports, failures)``: a stage that fails leaves a message and the others go on.
@@ -60,9 +60,8 @@ def run_analysis(
         scored = cut(model.score(marked))
         state.update(model=model, scored=scored)
         held = scored.where("is_test")
-        sample = cut(attribution.hash_sample(runs, 2000, seed))
-        phi, _ = attribution.contributions(model, runs, sample)
-        long = cut(attribution.long_contributions(model, sample, phi))
+        phi, _ = attribution.contributions(model, runs)
+        long = cut(attribution.long_contributions(model, runs, phi))
         ranked = attribution.importance(long)
         state["importance"] = [r["feature"] for r in ranked.orderBy("rank").collect()]
         return {
