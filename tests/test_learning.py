@@ -117,12 +117,14 @@ def test_recommendations_avoid_the_rules(corpus, model):
     assert len(none) == 10 and all(r["is_fallback"] for r in none)
 
 
-def test_wide_settings_are_drawn_by_join(corpus, monkeypatch):
-    monkeypatch.setattr(recommend, "INLINE_LEVELS", 2)
-    space = recommend.search_space(corpus, ["route", "stops"])
-    assert space["route"] == {"kind": "levels", "n": 3}
-    drawn = recommend.candidates(corpus.sparkSession, corpus, space, {}, 900).groupBy("route").count().collect()
-    assert sum(r["count"] for r in drawn) == 900 and all(r["count"] > 200 for r in drawn) and len(drawn) == 3
+def test_words_are_drawn_from_their_levels(corpus):
+    runs = corpus.withColumn("blank", F.lit(None).cast("string"))
+    space = recommend.search_space(runs, ["route", "stops", "blank"])
+    assert space["route"] == {"kind": "choice", "n": 3} and space["blank"] == {"kind": "choice", "n": 0}
+    drawn = recommend.candidates(runs.sparkSession, runs, space, {}, 900)
+    assert drawn.where("blank is not null").count() == 0
+    sizes = {r["route"]: r["count"] for r in drawn.groupBy("route").count().collect()}
+    assert sum(sizes.values()) == 900 and set(sizes) == {"air", "rail", "sea"} and min(sizes.values()) > 200
 
 
 def test_whole_analysis(corpus):
