@@ -211,16 +211,24 @@ def _tree_maker(blocks: tuple[int, ...]):
 
 
 def _partitioned(suffixes: DataFrame, group: int) -> DataFrame:
-    """Add ``prefix``: a hash of the shortest prefix, in blocks, that at most ``group`` suffixes share (or of all blocks)."""
-    out = suffixes.withColumn("prefix", F.col("p0"))
+    """Add ``prefix``, a hash of the shortest prefix, in blocks, that at most ``group`` suffixes share, and ``settled``.
+
+    Where more than ``group`` suffixes share the whole path, no prefix parts them. All of them are repeats, which their number
+    tells without a tree: they are settled, and no task gathers them.
+    """
+    group = max(group, 1)
+    out = suffixes.withColumn("prefix", F.col("p0")).withColumn("settled", F.lit(False))
     wide = suffixes.select(*PATH, F.col("p0").alias("prefix"))
-    for block in PATH[1:]:
+    for block in [*PATH[1:], None]:
         large = stored(wide.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > group).select(F.col("prefix").alias("large")), "prefixes")
         if large.isEmpty():
             return out
         large = small_or_plain(large, 100_000)
+        out = out.join(large, out.prefix == large.large, "left")
+        if block is None:
+            return out.withColumn("settled", F.col("large").isNotNull()).drop("large")
         longer = F.when(F.col("large").isNull(), F.col("prefix")).otherwise(F.xxhash64("prefix", block))
-        out = out.join(large, out.prefix == large.large, "left").withColumn("prefix", longer).drop("large")
+        out = out.withColumn("prefix", longer).drop("large")
         wide = wide.join(large, wide.prefix == large.large).withColumn("prefix", longer).drop("large")
     return out
 
@@ -287,8 +295,9 @@ def remove_repeats(docs: DataFrame, blocks: tuple[int, ...] = BLOCKS, group: int
     suffixes = stored(open_texts.mapInArrow(_suffix_rows(blocks), SUFFIX), "suffixes")
     total = suffixes.count()
     grouped = _partitioned(suffixes, group).withColumn("task", F.pmod(F.xxhash64("prefix"), F.lit(buckets_for(total, task))))
-    leaves = grouped.select("task", *PATH, "key", "chars", "start", "again").groupBy("task")
+    leaves = grouped.where("NOT settled").select("task", *PATH, "key", "chars", "start", "again").groupBy("task")
     found = leaves.applyInArrow(_tree_maker(blocks), "key long, chars long, start int")
+    found = found.unionByName(grouped.where("settled").select("key", "chars", "start"))
     found = found.groupBy(F.col("key").alias("f_key"), F.col("chars").alias("f_chars")).agg(F.collect_list("start").alias("found"))
     rest = split.where("kept_sha256 IS NULL").select("doc_id", "key", "chars", "text", "starts")
     rest = rest.join(found, (rest.key == found.f_key) & (rest.chars == found.f_chars), "left").select("doc_id", "text", "starts", "found")
