@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import buckets_for, discard, stored
 from .components import least_reachable
@@ -226,6 +226,42 @@ def _size_fits(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _in_chunks(held: DataFrame) -> tuple[DataFrame, int]:
+    """``leader, low, high, chunk, node, label``: the nodes of each open group, once for each block that they meet in; and the
+    shingles of all these copies.
+
+    A label with more than BLOCK shingles has chunks of its own, which need no block among themselves; the others share the first
+    chunks. So a large component that meets few strangers costs a few copies of each, not a copy for each of its chunks.
+    """
+    by_label = held.groupBy("leader", "label").agg(F.sum("n").alias("weight"), F.count("*").alias("nodes"))
+    by_label = by_label.withColumn("own", F.when(F.col("weight") > BLOCK, F.least(F.ceil(F.col("weight") / BLOCK), "nodes")).otherwise(0))
+    by_label = stored(by_label, "minhash-group-labels")
+    small = F.when(F.col("own") == 0, F.col("weight"))
+    groups = by_label.groupBy("leader").agg(
+        F.ceil(F.coalesce(F.sum(small), F.lit(0)) / BLOCK).alias("shared"), F.sum("own").alias("large"), F.count("*").alias("labels")
+    ).where("labels > 1").select("leader", "shared", (F.col("shared") + F.col("large")).alias("blocks"))
+    # Only labels of more than BLOCK shingles are numbered.
+    before = Window.partitionBy("leader").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+    large = by_label.where("own > 0").select("leader", "label", "own", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("before"))
+    plan = by_label.select("leader", "label", "weight").join(groups, "leader").join(large, ["leader", "label"], "left").select(
+        "leader", "label", "weight", "blocks",
+        F.when(F.col("own").isNull(), 0).otherwise(F.col("shared") + F.col("before")).alias("first"),
+        F.coalesce("own", "shared").alias("many"),
+        F.coalesce("own", F.lit(0)).alias("own"),
+    )
+    plan = stored(plan, "minhash-chunks")
+    copied = plan.agg(F.coalesce(F.sum(F.col("weight") * (F.col("blocks") - F.col("own"))), F.lit(0))).first()[0]
+    dealt = held.join(plan.drop("weight"), ["leader", "label"]).withColumn("chunk", F.col("first") + F.pmod(F.xxhash64("node"), F.col("many")))
+    others = F.filter(
+        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
+        lambda c: (c < F.col("first")) | (c >= F.col("first") + F.col("own")),
+    )
+    dealt = dealt.withColumn("other", F.explode(others)).select(
+        "leader", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "label"
+    )
+    return dealt, copied
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -282,16 +318,8 @@ def near_duplicates(
     held = hits.join(leaders, "key").select((-F.col("top.minus")).alias("leader"), "node", "n").distinct()
     held = held.join(labels, "node", "left").select("leader", "node", "n", F.coalesce("label", "node").alias("label"))
     held = stored(held, "minhash-held")
-    split = held.groupBy("leader").agg(
-        (F.min("label") < F.max("label")).alias("open"), F.ceil(F.sum("n") / BLOCK).alias("blocks")
-    ).where("open").select("leader", "blocks")
-    held = held.join(split, "leader").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    held = held.withColumn("other", other).select(
-        "leader", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "label"
-    )
-    size = hits.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    met = held.join(sets, "node").withColumn("task", F.pmod(F.xxhash64("leader", "low", "high"), F.lit(buckets_for(size, BLOCK * 8))))
+    dealt, copied = _in_chunks(held)
+    met = dealt.join(sets, "node").withColumn("task", F.pmod(F.xxhash64("leader", "low", "high"), F.lit(buckets_for(copied, BLOCK * 8))))
     found = met.groupBy("task").applyInArrow(_block_verifier(percent), "u long, v long")
     links = stored(found.unionByName(stars), "minhash-links")
     labels = stored(least_reachable(links), "minhash-components")

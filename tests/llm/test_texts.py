@@ -93,6 +93,34 @@ def test_a_leaders_group_is_compared_in_blocks(spark, monkeypatch):
     assert collections.Counter(map(tuple, circulant_minhash.near_duplicates(frame).collect())) == collections.Counter(h.near_components(rows))
 
 
+def test_chunks_of_a_large_component_meet_strangers_only(spark, monkeypatch):
+    monkeypatch.setattr(circulant_minhash, "BLOCK", 500)
+    for size in (100, 1000):
+        rows = [(7, i, 100, 7) for i in range(size)] + [(7, 5000, 100, 5000), (7, 5001, 100, 5001)]  # a component and two strangers
+        rows += [(8, 6000 + i, 100, 6000 + i % 2) for i in range(40)]  # two components, chunks of their own
+        rows += [(9, 7000 + i, 100, 7000) for i in range(40)]  # a closed group
+        held = spark.createDataFrame(rows, "leader long, node long, n long, label long")
+        dealt, copied = circulant_minhash._in_chunks(held)
+        dealt = dealt.collect()
+        assert len(dealt) * 100 == copied <= 2 * 100 * len(rows) + 100 * 100 * size // 500
+        blocks = collections.defaultdict(list)
+        for r in dealt:
+            blocks[r["leader"], r["low"], r["high"]].append(r)
+        assert max(map(len, blocks.values())) <= 40  # a few blocks of 500 / 100, however large the component
+        met = {(x["node"], y["node"]) for b in blocks.values() for x in b for y in b if b[0]["low"] == b[0]["high"] or x["chunk"] != y["chunk"]}
+        want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[3] != y[3]}
+        assert want <= met
+
+
+def test_complete_paths_are_settled_by_their_number(spark):
+    for copies in (300, 3000):
+        rows = [(1, 2, 3, 4, i, 9, 0, False) for i in range(copies)] + [(1, 2, 3, 50 + i, i, 9, 1, False) for i in range(150)]
+        suffixes = spark.createDataFrame(rows + [(6, 7, 8, 9, i, 9, 2, False) for i in range(80)], suffix_repeats.SUFFIX)
+        parts = suffix_repeats._partitioned(suffixes, 100).groupBy("settled", "prefix").count().collect()
+        assert max(r["count"] for r in parts if not r["settled"]) <= 100
+        assert [r["count"] for r in parts if r["settled"]] == [copies]
+
+
 @pytest.mark.parametrize("group,task", [(20_000, 100_000), (2, 5)])
 def test_repeats_equal_window_counts(spark, group, task):
     rows = h.awkward_rows()
