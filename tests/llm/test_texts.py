@@ -139,7 +139,7 @@ def test_surrogates_keep_format_identity_and_clean_rows(spark):
     text = "Mr. John Smith (j.smith@mail.example.com, +1 (017) 555-7713) met Frau Anna Smith. Smith paid 4111 1111 1111 1111 from 97.51.17.173."
     rows += [(50, text, "s1", "x", 1, 2.5), (51, text, "s1", "x", 1, 2.5), (52, "Smith? Dr Smith wrote to J.SMITH@mail.example.com", "s1", "x", 1, 2.5),
              (53, "Госпожа ".lower() + "Анна", "s1", "x", 1, 2.5)]
-    out = surrogates.with_surrogates(h.awkward(spark, rows)).collect()
+    out = surrogates.with_surrogates(h.awkward(spark, rows), "k").collect()
     assert len(out) == len(rows)
     new = {r["doc_id"]: r["text"] for r in out}
     old = {r[0]: r[1] for r in rows}
@@ -149,30 +149,82 @@ def test_surrogates_keep_format_identity_and_clean_rows(spark):
     assert new[50] == new[51] != text
     for x in ("John", "Smith", "Anna", "j.smith", "555-7713", "4111 1111", "97.51.17.173"):
         assert x not in new[50]
-    kinds = [k for _, _, k, _ in surrogates.mentions(text)]
+    kinds = [m[2] for m in surrogates.mentions(text)]
     again = surrogates.mentions(new[50])
-    assert [k for _, _, k, _ in again if not k.startswith("name")] == [k for k in kinds if not k.startswith("name")]
+    assert [k for _, _, k, *_ in again if not k.startswith("name")] == [k for k in kinds if not k.startswith("name")]
     surname = new[52].split("?")[0]
     assert new[50].count(surname) == 3 and f"Dr {surname}" in new[52]
-    card = [v for _, _, k, v in again if k == "account"][0]
+    card = [v for _, _, k, v, _ in again if k == "account"][0]
     assert surrogates.luhn(card[:-1]) == int(card[-1]) and len(card) == 16
     assert surrogates.script_of(new[53].split()[1]) == "cyrillic"
     assert new[14].count("@") == 2 and len(set(w for w in new[14].split() if "@" in w)) == 1
-    assert surrogates.with_surrogates(h.awkward(spark, [])).count() == 0
+    assert surrogates.with_surrogates(h.awkward(spark, []), "k").count() == 0
 
 
 def test_surrogates_of_many_values_stay_distinct(spark):
-    values = spark.createDataFrame([("name-f-latin", f"name{i}") for i in range(3000)] + [("ip", f"1.2.3.{i}") for i in range(200)], "kind string, value string")
-    out = surrogates.assigned(values).collect()
+    values = spark.createDataFrame([("name-latin", f"name{i}", "f") for i in range(3000)] + [("ip", f"1.2.3.{i}", "") for i in range(200)], "kind string, value string, role string")
+    out = surrogates.assigned(values, "k").collect()
     assert len({(r["kind"], r["surrogate"]) for r in out}) == len(out) == 3200
     assert not {(r["kind"], r["surrogate"]) for r in out} & {(r["kind"], r["value"]) for r in out}
 
 
+def test_a_name_has_one_surrogate_under_any_title(spark):
+    texts = ["Mr John Smith came. Dr John Smith left; John stayed.", "Prof JOHN Smith", "Mrs Anna Brown", "Dr Anna Brown", "Dr Smith", "Mr Brown Green"]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "__k int, text string, n_chars int, __map string")
+    out = surrogates.with_surrogates(docs, "k").withColumnRenamed("__k", "i").orderBy("i").collect()
+    new = [r["text"] for r in out]
+    john, smith = new[0].split()[1:3]
+    smith = smith.strip(".;")
+    assert [w.strip(".;") for w in new[0].split()] == ["Mr", john, smith, "came", "Dr", john, smith, "left", john, "stayed"]
+    assert new[1] == f"Prof {john.upper()} {smith}" and new[4] == f"Dr {smith}" and new[2].split()[1:] == new[3].split()[1:]
+    assert new[5].split()[1] == new[2].split()[2]  # a surname in more texts than a given name
+    assert john.lower().endswith(tuple(surrogates.ENDINGS["latin"]["m"])) and new[2].split()[1].endswith(tuple(surrogates.ENDINGS["latin"]["f"]))
+    assert all(r["n_chars"] == len(r["text"]) and r["__map"] == "x" for r in out)
+    with pytest.raises(ValueError):
+        surrogates.with_surrogates(docs, "")
+
+
+def test_detection_is_linear_in_unbroken_text():
+    import time
+
+    for run in ("a", "a-", "a.", "a1", "Mr Ab ", "a@b.cc_", "+-"):
+        start = time.monotonic()
+        found = surrogates.mentions("x " + run * (400_000 // len(run)) + " end x.y@z.org")
+        assert found[-1][3] == "x.y@z.org" and time.monotonic() - start < 10  # a square would take minutes
+    several = surrogates.mentions("a@b.cc_d@e.ff " + "555-777-8888-" + "k1" * 12)
+    assert [m[3] for m in several] == ["a@b.cc", "_d@e.ff", "555-777-8888-" + "k1" * 12]
+
+
+def test_planted_entities_are_replaced_one_to_one(spark):
+    """Against a plain version: the planted values are known, what stands between them stays, and equal values stay equal."""
+    rng = h.random.Random(8)
+    pool = [(kind, entities(rng)[kind]) for _ in range(25) for kind in ("email", "secret", "akia", "ip", "id")]
+    rows, planted = [], {}
+    for i in range(120):
+        between = [h.prose(1000 + 7 * i + j, 4) for j in range(4)]
+        use = [rng.choice(pool) for _ in range(3)]
+        planted[i] = between, use
+        rows.append((i, "".join(f"{b} {e} " for b, (_, e) in zip(between, use)) + between[3]))
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    seen = {}
+    for r in surrogates.with_surrogates(docs, "k").collect():
+        between, use = planted[r["doc_id"]]
+        shape = " (.+?) ".join(map(h.re.escape, between))
+        new = h.re.fullmatch(shape, r["text"]).groups()
+        assert r["n_replaced"] == 3
+        for (kind, old), value in zip(use, new):
+            old, value = (old.lower(), value.lower()) if kind == "email" else (old, value)
+            assert seen.setdefault((kind, old), value) == value != old
+    for kind in {k for k, _ in seen}:
+        own = {old: new for (k, old), new in seen.items() if k == kind}
+        assert len(set(own.values())) == len(own) and not set(own.values()) & set(own)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_mentions_are_ordered_and_inside(text):
     last = 0
-    for a, b, _, value in surrogates.mentions(text):
+    for a, b, _, value, _ in surrogates.mentions(text):
         assert last <= a < b <= len(text) and value
         last = b
 
@@ -221,7 +273,7 @@ def test_no_text_with_a_mention_skips_detection(spark):
     assert [r["text"] for r in frame.where(~frame.text.rlike(surrogates.LIKELY)).collect()] == []
     new = surrogates.written_as("٠١٢-٣٤-٥٦٧٨", "id", "987654321")
     assert new == "٩٨٧-٦٥-٤٣٢١" and surrogates.mentions("٠١٢-٣٤-٥٦٧٨")[0][3] == "012345678"
-    out = {r["doc_id"]: r["n_replaced"] for r in surrogates.with_surrogates(frame.where("doc_id < 9")).collect()}
+    out = {r["doc_id"]: r["n_replaced"] for r in surrogates.with_surrogates(frame.where("doc_id < 9"), "k").collect()}
     assert len(out) == 9 and min(out.values()) > 0
 
 
