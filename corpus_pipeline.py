@@ -23,8 +23,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with surrogates for personal data."""
-    return surrogates.with_surrogates(docs).select(*docs.columns)
+    """All documents, with surrogates for personal data, drawn with the key that the session holds."""
+    key = spark.conf.get(surrogates.SETTING, "synthetic tables need no secret")
+    return surrogates.with_surrogates(docs, key).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
