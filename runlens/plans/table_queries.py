@@ -81,6 +81,24 @@ def csv_scan(spark, sf):
     return tables.read_csv(spark, path)
 
 
+@query(
+    "s09_s11_mixed_charsets",
+    """SELECT c_custkey AS run_id, c_mktsegment || CASE c_custkey % 3 WHEN 0 THEN ' é€' || chr(10) || 'say "so", or not' WHEN 1 THEN ' éü' ELSE ' € – é' END AS note,
+    CASE WHEN c_custkey % 3 = 1 THEN NULL ELSE c_acctbal END AS balance FROM customer""",
+)
+def mixed_charsets(spark, sf):
+    """All customers as CSV files in three charsets, with two headers and quoted line breaks, read again as one table."""
+    path, k = scratch_path(spark, "charsets"), F.col("c_custkey")
+    # Bytes 80 and 96 are the euro sign and a dash in cp1252.
+    marks = [(" é€\nsay \"so\", or not", "UTF-8"), (" éü", "ISO-8859-1"), (" \u0080 \u0096 é", "ISO-8859-1")]
+    for i, (mark, encoding) in enumerate(marks):
+        rows = table(spark, sf, "customer").where(k % 3 == i).select(
+            k.alias("Run ID"), F.concat("c_mktsegment", F.lit(mark)).alias("Note"), *([] if i == 1 else [F.col("c_acctbal").alias("Balance")])
+        )
+        rows.write.csv(f"{path}/{i}", header=True, encoding=encoding, escape='"')
+    return tables.read_csv(spark, path)
+
+
 # ------------------------------------------------------------------ roll-ups
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] = ()) -> None:
     writer = df.write.mode("overwrite").partitionBy(*partition_by)
-    writer.csv(path, header=True) if fmt == "csv" else writer.format(fmt).save(path)
+    writer.csv(path, header=True, escape='"') if fmt == "csv" else writer.format(fmt).save(path)
 
 
 def as_json(df: DataFrame) -> DataFrame:

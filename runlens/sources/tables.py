@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import NumericType, StringType
 
 from ..functions import vocab
 from ..functions.text import outcome
@@ -19,6 +19,7 @@ CATEGORIES = {
     "outcomes": "outcome|result",
     "registers": "register",
 }
+CSV_FILES = "*.[cC][sS][vV]"
 SOURCE_NAMES = {
     "configuration": "config", "randomization": "randomization", "transactions": "transactions",
     "telemetry": "telemetry", "outcomes": "outcomes", "registers": "registers",
@@ -135,10 +136,69 @@ def normalise_header(df: DataFrame, aliases: dict[str, str] | None = None) -> Da
     return out
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8") -> DataFrame:
-    """CSV files of one category with inferred types and a normalised header."""
-    raw = spark.read.csv(paths, header=True, inferSchema=True, encoding=encoding)
-    return normalise_header(raw)
+def probe_csv(spark: SparkSession, paths: str | list[str], names: str = "*") -> DataFrame:
+    """``path, name, header, charset, multiline`` of each file that has a line, in one pass over splits of all files.
+
+    A file is ``utf-8`` if all its lines are valid. Else it is ``cp1252`` if it holds bytes that are letters or marks there and
+    control characters in latin-1 (80 to 9F), and none that cp1252 leaves out; else ``latin-1``, which takes any byte.
+    ``multiline`` tells that a line has an odd number of quotes, so that a quoted value goes on in the next line.
+    """
+    lines = spark.read.text(paths, recursiveFileLookup=True, pathGlobFilter=names).select(
+        "value",
+        F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("bytes"),
+        *[F.url_decode(F.replace(F.col(f"_metadata.file_{c}"), F.lit("+"), F.lit("%2B"))).alias(c) for c in ("path", "name")],
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("line"),
+    )
+    quotes = F.length("bytes") - F.length(F.replace("bytes", F.lit('"'), F.lit("")))
+    only_cp1252 = F.bool_or(F.col("bytes").rlike(r"[\x80-\x9f]")) & ~F.bool_or(F.col("bytes").rlike(r"[\x81\x8d\x8f\x90\x9d]"))
+    return lines.groupBy("path", "name").agg(
+        F.min_by("value", "line").alias("header"),
+        F.when(F.bool_and(F.is_valid_utf8("value")), "utf-8").when(only_cp1252, "cp1252").otherwise("latin-1").alias("charset"),
+        F.bool_or(quotes % 2 == 1).alias("multiline"),
+    )
+
+
+def _read_alike(spark: SparkSession, paths: list[str], charset: str, multiline: bool) -> DataFrame:
+    """Files with one header and charset, by one reader. Doubled quotes stand for a quote inside a quoted value."""
+    plain = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
+    java = "UTF-8" if charset == "utf-8" else "ISO-8859-1"
+    raw = spark.read.csv(plain, header=True, inferSchema=True, encoding=java, escape='"', multiLine=multiline)
+    names = [c.removeprefix("\ufeff") for c in raw.columns]
+    if charset == "cp1252":
+        names = [c.encode("latin-1").decode("cp1252") for c in names]
+        pairs = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)]
+        old, new = ("".join(x) for x in zip(*[p for p in pairs if p[1]]))
+        raw = raw.select(*[
+            F.translate(F.col(_quoted(f.name)), old, new).alias(f.name) if isinstance(f.dataType, StringType) else F.col(_quoted(f.name))
+            for f in raw.schema.fields
+        ])
+    return normalise_header(raw.toDF(*names))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def csv_groups(files: DataFrame, *by: str) -> DataFrame:
+    """Files of :func:`probe_csv` that one reader can take: one row for each header, charset and kind of line break, and value of ``by``."""
+    return (
+        files.groupBy(*by, "charset", "multiline", "header")
+        .agg(F.sort_array(F.collect_list("path")).alias("paths"), F.min("name").alias("first"))
+        .select(*by, "charset", "multiline", "paths", "first")
+    )
+
+
+def read_csv(spark: SparkSession, paths: str | list[str], encoding: str | None = None) -> DataFrame:
+    """CSV files of one category with inferred types and a normalised header; folders are read with all files below them.
+
+    Without ``encoding`` the files are probed first, and files alike are read together. Files without a line are skipped.
+    """
+    if encoding:
+        return normalise_header(spark.read.csv(paths, header=True, inferSchema=True, encoding=encoding, escape='"'))
+    groups = csv_groups(probe_csv(spark, paths)).orderBy("first", "paths").collect()
+    if not groups:
+        raise ValueError(f"no file with a header in {paths}")
+    return union_all([_read_alike(spark, g["paths"], g["charset"], g["multiline"]) for g in groups])
 
 
 def numeric_columns(df: DataFrame, skip: tuple[str, ...] = ("run_id",)) -> list[str]:
@@ -197,23 +257,31 @@ ROLLUPS = {
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
-    """Rows of all frames; columns missing in one are null there."""
+    """Rows of all frames; columns missing in one are null there, and a column that is text in one is text in all."""
+    kinds: dict[str, set[bool]] = {}
+    for f in frames:
+        for field in f.schema.fields:
+            kinds.setdefault(field.name, set()).add(isinstance(field.dataType, StringType))
+    mixed = {c for c, k in kinds.items() if len(k) == 2}
+    frames = [f.withColumns({c: F.col(_quoted(c)).cast("string") for c in f.columns if c in mixed}) for f in frames]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
 
 
-def load_tables(spark: SparkSession, path: str, encoding: str = "UTF-8") -> dict[str, DataFrame]:
-    """Category name to roll-up for all CSV files below a folder.
+def load_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Category name to roll-up for all CSV files below a folder, each in its own charset.
 
-    Files of one category are united. Only the file listing reaches the driver.
+    Files of one category are united. One reader, and one inference of types, takes all files of a category with the same
+    header and charset. Their paths reach the driver, as they do in any scan.
     """
-    listing = route(file_listing(spark, path)).where("kind = 'csv'").orderBy("name").collect()
+    category = csv_category(F.col("name"))
+    category = F.when(category == "custom", F.concat(F.lit("custom_"), F.col("name"))).otherwise(category)
+    files = probe_csv(spark, path, CSV_FILES).withColumn("category", category)
     grouped: dict[str, list[DataFrame]] = {}
-    for row in listing:
-        name = row["category"] if row["category"] != "custom" else f"custom_{row['name']}"
-        grouped.setdefault(name, []).append(read_csv(spark, row["path"], encoding))
+    for g in csv_groups(files, "category").orderBy("first", "paths").collect():
+        grouped.setdefault(g["category"], []).append(_read_alike(spark, g["paths"], g["charset"], g["multiline"]))
     return {
         name: ROLLUPS.get(name, lambda df: df)(union_all(frames)) for name, frames in grouped.items()
     }

@@ -75,6 +75,32 @@ def test_csv_family_end_to_end(spark, tmp_path):
     assert got["B"]["primary_error_tag"] == "TIMEOUT" and got["B"]["trace_fingerprint"] == "TIMEOUT"
 
 
+def test_each_csv_file_is_read_in_its_own_charset(spark, tmp_path):
+    (tmp_path / "config 1,a.csv").write_bytes("\ufeffrunId,größe,note\nA,1,é€\n".encode())
+    (tmp_path / "config_[2].csv").write_bytes("runId,größe,note\nB,2,éü\n".encode("latin-1"))
+    (tmp_path / "config_3.CSV").write_bytes('runId,größe,note\nC,x,"“q” – ""z"",\nnext"\nD,4,\n'.encode("cp1252"))
+    (tmp_path / "config_4.csv").write_bytes(b"")
+    (tmp_path / "config_5.csv").write_bytes(b"runId,note\nE,\x81\x93\n")  # 81 is not in cp1252
+    (tmp_path / "notes.txt").write_text("runId,note\nF,no\n")
+    out = tables.load_tables(spark, str(tmp_path))
+    assert list(out) == ["config"]
+    got = {r["run_id"]: (r["größe"], r["note"]) for r in out["config"].collect()}
+    assert got == {
+        "A": ("1", "é€"), "B": ("2", "éü"), "C": ("x", '“q” – "z",\nnext'), "D": ("4", None), "E": (None, "\x81\x93"),
+    }
+
+
+def test_files_alike_share_one_reader(spark, tmp_path):
+    for i in range(40):
+        sub = tmp_path / f"d{i % 3}"
+        sub.mkdir(exist_ok=True)
+        (sub / f"config_{i}.csv").write_text(f"run_id,knob\nr{i},{i}\n" if i % 2 else f"run_id,depth\nr{i},{i}\n")
+    groups = tables.csv_groups(tables.probe_csv(spark, str(tmp_path), tables.CSV_FILES)).collect()
+    assert sorted(len(g["paths"]) for g in groups) == [20, 20]
+    rows = tables.load_tables(spark, str(tmp_path))["config"].collect()
+    assert {(r["run_id"], r["knob"], r["depth"]) for r in rows} == {(f"r{i}", i if i % 2 else None, None if i % 2 else i) for i in range(40)}
+
+
 def test_header_rules(spark):
     raw = spark.createDataFrame([(1, 2, 3, 4)], "`Test_ID` int, `Run ID` int, `Status` int, `Result` int")
     assert tables.normalise_header(raw).columns == ["test_id", "run_id", "pass_fail"]
