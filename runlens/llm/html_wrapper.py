@@ -1,18 +1,21 @@
 """Main text of web pages by wrapper induction.
 
 Pages of a host share a template. One page of each host is its reference; simple tree matching aligns every page of the
-host with it outside the article. Text nodes that stay the same on most pages are template, the others are slots.
-The main text is what the slots hold, less the parts whose element says that they are something else.
+host with it, articles included. Text nodes that stay the same on most pages are template, the others are slots.
+The main text is what the slots hold, inside the article if the page has one, less the parts whose element says that they
+are something else. Copies of one article are no evidence of a template: each article is counted once a host, and an
+article that is mostly the reference's own is not counted against it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -20,6 +23,7 @@ from .common import discard, stored
 
 SHARE = 0.6  # of aligned pages on which a template node has the same text
 LEAST_PAGES = 3  # of a host before anything is called template
+SHORT = 32  # characters up to which an outline holds a text itself
 
 # HTML's elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -122,27 +126,34 @@ def _close(stack: list[Node], tags) -> None:
             return
 
 
-def blocks(node: Node, skip: frozenset[int] = frozenset(), numbers: dict[int, int] | None = None) -> list[str]:
-    """The texts of a subtree's blocks in page order, without parts set apart and without the slots in ``skip``.
+def blocks(node: Node, skip: frozenset[int] = frozenset(), numbers: dict[int, int] | None = None, whole: bool = False) -> list[str]:
+    """The texts of a subtree's blocks in page order, without parts set apart and without the template nodes in ``skip``.
 
-    ``numbers`` gives the number of an aligned element.
+    ``numbers`` gives the number of an aligned element. With ``whole`` a block goes only if all its text is template, so that
+    a link or an emphasis that recurs is not cut out of a sentence.
     """
     out: list[str] = []
     open_text: list[str] = []
+    held = False  # by the open block: text that is no template
 
     def flush() -> None:
-        text = " ".join(entities.unescape("".join(open_text)).split())
+        nonlocal held
+        text = " ".join(entities.unescape("".join(open_text)).split()) if held else ""
         if text:
             out.append(text)
         open_text.clear()
+        held = False
 
-    todo: list = [node]  # nodes, texts and None where a block ends; a stack, so that deep pages are no trouble
+    todo: list = [node]  # nodes, texts, template texts in a tuple and None where a block ends; a stack, so that deep pages are no trouble
     while todo:
         x = todo.pop()
         if x is None:
             flush()
+        elif isinstance(x, tuple):
+            open_text.extend(x)
         elif isinstance(x, str):
             open_text.append(x)
+            held = held or not x.isspace()
         elif x.tag in ("br", "wbr", "img"):
             open_text.append(" " if x.tag == "br" else "")
         elif x.apart and x is not node:
@@ -150,7 +161,9 @@ def blocks(node: Node, skip: frozenset[int] = frozenset(), numbers: dict[int, in
                 flush()
         else:
             template = numbers is not None and numbers.get(id(x)) in skip
-            inner = [c for c in x.children if not (template and isinstance(c, str))]
+            inner = x.children
+            if template:
+                inner = [(c,) if isinstance(c, str) else c for c in inner if whole or not isinstance(c, str)]
             if x.tag in BLOCK or x is node:
                 flush()
                 todo.append(None)
@@ -176,123 +189,130 @@ def mains(root: Node) -> list[Node]:
 
 
 def outline(root: Node, depth: int = 200) -> tuple[list, list[Node]]:
-    """The tree outside articles as [tag, text, children] and its elements in the same order of numbers."""
+    """The tree as [tag, text, children] and its elements in the same order of numbers; a long text is its length and digest."""
     nodes: list[Node] = []
 
     def walk(x: Node, left: int) -> list:
         nodes.append(x)
-        if x.tag in MAIN_TAGS or not left:
+        if not left:
             return [x.tag, "", []]
-        own = " ".join(entities.unescape(" ".join(c for c in x.children if isinstance(c, str))).split())
-        return [x.tag, own, [walk(c, left - 1) for c in x.children if not isinstance(c, str)]]
+        own = " ".join([c for c in x.children if isinstance(c, str)])
+        own = " ".join((entities.unescape(own) if "&" in own else own).split())
+        return [x.tag, own if len(own) <= SHORT else f"{len(own)}:{_digest(own)}", [walk(c, left - 1) for c in x.children if not isinstance(c, str)]]
 
     return walk(root, depth), nodes
 
 
-def _sizes(tree: list, out: list) -> int:
-    """Number the elements of an outline in page order; ``out`` gets (size, shape) by number."""
-    at = len(out)
-    out.append(None)
-    parts = [_sizes(c, out) for c in tree[2]]
-    size = 1 + sum(parts)
-    out[at] = (size, f"{tree[0]}({','.join(out[i][1] for i in _starts(at, parts))})")
-    return size
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def _starts(at: int, sizes: list[int]) -> list[int]:
-    out, i = [], at + 1
-    for s in sizes:
-        out.append(i)
-        i += s
-    return out
+def _chars(text: str) -> int:
+    """Characters of a text of an outline."""
+    return len(text) if len(text) <= SHORT else int(text.split(":", 1)[0])
 
 
 class Outline:
-    """An outline with numbered elements, ready to be matched."""
+    """An outline with elements numbered in page order, ready to be matched."""
 
     def __init__(self, tree: list):
-        info: list = []
-        _sizes(tree, info)
-        self.size, self.shape = [x[0] for x in info], [x[1] for x in info]
-        self.tag, self.text, self.kids = [], [], []
-        todo = [tree]
-        while todo:
-            x = todo.pop()
-            n = len(self.tag)
-            self.tag.append(x[0])
-            self.text.append(x[1])
-            self.kids.append(_starts(n, [self.size[i] for i in self._child_numbers(n, len(x[2]))]))
-            todo.extend(reversed(x[2]))
-
-    def _child_numbers(self, n: int, count: int) -> list[int]:
-        out, i = [], n + 1
-        for _ in range(count):
-            out.append(i)
-            i += self.size[i]
-        return out
+        self.tag, self.text, self.size, self.shape, self.kids = [], [], [], [], []
+        self._add(tree)
+
+    def _add(self, tree: list) -> int:
+        n = len(self.tag)
+        self.tag.append(tree[0])
+        self.text.append(tree[1])
+        self.size.append(1)
+        self.shape.append(tree[0] + "()")
+        self.kids.append([])
+        if tree[2]:
+            self.kids[n] = kids = [self._add(c) for c in tree[2]]
+            self.size[n] = len(self.tag) - n
+            self.shape[n] = f"{tree[0]}({','.join([self.shape[k] for k in kids])})"
+        return n
 
 
 def matched(a: Outline, b: Outline) -> dict[int, int]:
     """Simple tree matching: the largest order-keeping match of the two trees, as b's number -> a's number.
 
-    Children of equal shape at both ends match at once; the rest goes through the usual table.
+    Children of equal shape at both ends match at once; the rest goes through the usual table, a row at a time. Of the
+    table only two bits a cell are kept. Elements of equal shapes have equal scores, so a score is found once for two shapes.
     """
-    known: dict[tuple[int, int], tuple[int, list]] = {}
+    known: dict[tuple[str, str], int] = {}
 
     def score(x: int, y: int) -> int:
         if a.tag[x] != b.tag[y]:
             return 0
         if a.shape[x] == b.shape[y]:
             return a.size[x]
-        if (x, y) not in known:
-            known[x, y] = solve(x, y)
-        return known[x, y][0]
+        if not a.kids[x] or not b.kids[y]:
+            return 1
+        key = a.shape[x], b.shape[y]
+        if key not in known:
+            known[key] = solve(x, y)[0]
+        return known[key]
 
     def solve(x: int, y: int) -> tuple[int, list]:
-        p, q = list(a.kids[x]), list(b.kids[y])
+        p, q = a.kids[x], b.kids[y]
         total, pairs = 1, []
-        for end in (0, -1):
-            while p and q and a.shape[p[end]] == b.shape[q[end]]:
-                i, j = p.pop(end), q.pop(end)
-                total += a.size[i]
-                pairs.append((i, j))
-        table = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-        for i, u in enumerate(p):
-            for j, v in enumerate(q):
-                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + score(u, v))
+        start, end = 0, min(len(p), len(q))
+        while start < end and a.shape[p[start]] == b.shape[q[start]]:
+            total += a.size[p[start]]
+            pairs.append((p[start], q[start]))
+            start += 1
+        p, q, end = p[start:], q[start:], 0
+        while end < min(len(p), len(q)) and a.shape[p[-1 - end]] == b.shape[q[-1 - end]]:
+            end += 1
+            total += a.size[p[-end]]
+            pairs.append((p[-end], q[-end]))
+        p, q = p[: len(p) - end], q[: len(q) - end]
+        if not p or not q:
+            return total, pairs
+        kinds: dict[str, int] = {}
+        kind = np.array([kinds.setdefault(b.shape[v], len(kinds)) for v in q])
+        some = list({b.shape[v]: v for v in q}.values())  # an element of each shape, in the order of kinds
+        scores: dict[str, np.ndarray] = {}
+        above, from_above, from_left = np.zeros(len(q) + 1, dtype=np.int64), [], []
+        for u in p:
+            if a.shape[u] not in scores:
+                scores[a.shape[u]] = np.array([score(u, v) for v in some])
+            row = np.zeros_like(above)
+            np.maximum.accumulate(np.maximum(above[1:], above[:-1] + scores[a.shape[u]][kind]), out=row[1:])
+            from_above.append(np.packbits(row[1:] == above[1:]))
+            from_left.append(np.packbits(row[1:] == row[:-1]))
+            above = row
         i, j = len(p), len(q)
         while i and j:
-            if table[i][j] == table[i - 1][j]:
+            at, bit = divmod(j - 1, 8)
+            if from_above[i - 1][at] >> (7 - bit) & 1:
                 i -= 1
-            elif table[i][j] == table[i][j - 1]:
+            elif from_left[i - 1][at] >> (7 - bit) & 1:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
                 pairs.append((p[i], q[j]))
-        return total + table[len(p)][len(q)], pairs
+        return total + int(above[-1]), pairs
 
     out: dict[int, int] = {}
-    todo = [(0, 0)] if score(0, 0) else []
+    todo = [(0, 0)] if a.tag[0] == b.tag[0] else []
     while todo:
         x, y = todo.pop()
         out[y] = x
-        if a.shape[x] == b.shape[y]:
-            todo.extend(zip(a.kids[x], b.kids[y]))
-        else:
-            todo.extend(known[x, y][1])
+        todo.extend(zip(a.kids[x], b.kids[y]) if a.shape[x] == b.shape[y] else solve(x, y)[1])
     return out
 
 
 def extract(page: str, reference: Outline | None = None, template: frozenset[int] = frozenset()) -> str:
-    """The main text: article blocks if the page has an article, else all slots that are not set apart."""
+    """The main text: all slots of the page's articles, or of the whole page if it has none, that are not set apart."""
     root = parse(page)
-    main = mains(root)
-    if main:
-        return "\n".join(b for m in main for b in blocks(m))
     numbers = None
     if reference is not None and template:
         tree, nodes = outline(root)
         numbers = {id(nodes[y]): x for y, x in matched(reference, Outline(tree)).items()}
+    main = mains(root)
+    if main:
+        return "\n".join(b for m in main for b in blocks(m, template, numbers, whole=True))
     return "\n".join(blocks(_without_header(root), template, numbers))
 
 
@@ -312,25 +332,35 @@ def _outliner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(trees, pa.string())], ["host", "tree"])
 
 
+def votes(page: str, reference: Outline) -> tuple[str, list[int]]:
+    """A key of the page's article (or whole text) and, for each aligned text of the reference, its number twice, plus one if it is equal.
+
+    Where more than half of an article is the reference's own text it is a copy of that and says nothing about what is inside.
+    """
+    root = parse(page)
+    tree, nodes = outline(root)
+    own = Outline(tree)
+    main = {id(m) for m in mains(root)}
+    inside = {i for y, n in enumerate(nodes) if id(n) in main for i in range(y, y + own.size[y])}
+    key = _digest("\0".join(own.text[y] for y in sorted(inside)) if inside else "\0".join(own.text))
+    pairs = matched(reference, own)
+    equal = {y for y, x in pairs.items() if own.text[y] and own.text[y] == reference.text[x]}
+    copy = 2 * sum(_chars(own.text[y]) for y in equal & inside) > sum(_chars(own.text[y]) for y in inside)
+    return key, sorted(2 * x + (y in equal) for y, x in pairs.items() if reference.text[x] and not (copy and y in inside))
+
+
 def _aligner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of aligned and equal texts by host and slot, one row for each batch that has them."""
+    """What each page says about the texts of its host's reference."""
     for batch in batches:
-        counts: dict = defaultdict(lambda: [0, 0])
         known: dict[str, Outline] = {}
-        for host, page, tree in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "tree"))):
+        hosts, keys, said = batch.column("host").to_pylist(), [], []
+        for host, page, tree in zip(hosts, *(batch.column(c).to_pylist() for c in ("html", "tree"))):
             if host not in known:
                 known[host] = Outline(json.loads(tree))
-            reference, own = known[host], Outline(outline(parse(page))[0])
-            for y, x in matched(reference, own).items():
-                if reference.text[x]:
-                    c = counts[host, x]
-                    c[0] += 1
-                    c[1] += reference.text[x] == own.text[y]
-        rows = [(h, s, n, e) for (h, s), (n, e) in counts.items()]
-        columns = list(zip(*rows)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "slot", "aligned", "same"]
-        )
+            key, own = votes(page, known[host])
+            keys.append(key)
+            said.append(own)
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(keys, pa.string()), pa.array(said, pa.list_(pa.int64()))], ["host", "article", "votes"])
 
 
 def _extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,8 +395,9 @@ def main_texts(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_
     references = stored(references, "html-references")
 
     near = pages.join(_by_host(references, "tree"), "host").select("host", "html", "tree")
-    seen = near.mapInArrow(_aligner, "host string, slot long, aligned long, same long")
-    seen = seen.groupBy("host", "slot").agg(F.sum("aligned").alias("aligned"), F.sum("same").alias("same"))
+    seen = near.mapInArrow(_aligner, "host string, article string, votes array<long>")
+    seen = seen.groupBy("host", "article").agg(F.min("votes").alias("votes")).select("host", F.explode("votes").alias("vote"))
+    seen = seen.groupBy("host", F.shiftright("vote", 1).alias("slot")).agg(F.count("*").alias("aligned"), F.sum(F.col("vote").bitwiseAND(1)).alias("same"))
     fixed = seen.where((F.col("aligned") >= least_pages) & (F.col("same") >= share * F.col("aligned")))
     wrappers = references.join(fixed.groupBy("host").agg(F.collect_set("slot").alias("slots")), "host", "left")
     wrappers = stored(wrappers.withColumnRenamed("host", "o"), "html-wrappers")

@@ -52,6 +52,40 @@ def test_pages_of_awkward_kinds(spark):
     assert html_wrapper.main_texts(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_template_inside_articles_is_found_by_alignment(spark):
+    def page(words, i, box="<div class='box'>Read our <i>weekly</i> letter</div>"):
+        body = "".join(f"<p>{w} of {words}, as <a href='/{w}'>said here</a> before</p>" for w in words.split())
+        return f"<nav><a>{i}</a></nav><article><h1>On {words}</h1>{box}{body}</article><div>Imprint</div>"
+
+    def text(words):
+        return "\n".join([f"On {words}", *(f"{w} of {words}, as said here before" for w in words.split())])
+
+    topics = [f"stone{i} river{i} cloud{i}" for i in range(9)]
+    pages = [(i, "http://news.example/x", page(t, i), t) for i, t in enumerate(topics)]
+    # One article many times in a frame that changes, and in near copies: what they share is no template.
+    pages += [(100 + i, "http://copies.example/x", page("glass wood iron", i, ""), "glass wood iron") for i in range(12)]
+    near = [f"tin lead zinc gold neon w{i}" for i in range(8)]
+    pages += [(200 + i, "http://near.example/x", page("salt", i, "").replace("</article>", f"<p>{n}</p></article>"), n) for i, n in enumerate(near)]
+    pages += [(300 + i, "http://two.example/x", page("tree house", i), "tree house") for i in range(2)]  # too few for a template
+    want = {i: text(t) for i, u, _, t in pages}
+    want |= {200 + i: text("salt") + "\n" + n for i, n in enumerate(near)}
+    want |= {300 + i: text("tree house").replace("\n", "\nRead our weekly letter\n", 1) for i in range(2)}
+    frame = spark.createDataFrame([(i, u, h, "h", 1) for i, u, h, _ in pages], PAGES)
+    assert {r["page_id"]: r["text"] for r in html_wrapper.main_texts(frame).collect()} == want
+    mixed = [(i, "http://all.example/x", h, "h", 1) for i, _, h, _ in pages[:21]]  # copies count once beside the others
+    got = {r["page_id"]: r["text"] for r in html_wrapper.main_texts(spark.createDataFrame(mixed, PAGES)).collect()}
+    assert got == {i: text(t) for i, _, _, t in pages[:21]}
+
+
+def test_wide_trees_match_like_small_ones():
+    rng = np.random.default_rng(4)
+    some = [["p", "", []], ["p", "", [["b", "", []]]], ["p", "", [["b", "", []], ["i", "", []]]], ["ul", "", [["li", "", []]] * 3], ["ul", "", [["li", "", []]]]]
+    for n, m in ((70, 50), (1, 60), (40, 0)):
+        a, b = (["div", "", [some[i] for i in rng.integers(0, len(some), k)]] for k in (n, m))
+        x, y = html_wrapper.Outline(a), html_wrapper.Outline(b)
+        assert len(html_wrapper.matched(x, y)) == _largest_match(a, b)
+
+
 def test_articles_equal_the_documents_they_were_made_of(spark):
     docs = {" ".join(r["text"].split()) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     rows = queries.QUERIES["op3_html_wrapper"](spark, "/root/testdata/sf0.01").collect()
