@@ -125,3 +125,40 @@ def test_margin_keeps_the_columns_of_the_caller(spark):
     assert mean[None] > mean["a"] and mean[None] > mean["b"]
     unseen = model.score(runs.limit(3).withColumn("word", F.lit("zz"))).collect()
     assert all(0 <= r["risk"] <= 1 and r["word"] == "zz" for r in unseen)
+
+
+def jobs_of(spark, group, make):
+    """What ``make`` gives, and how many Spark jobs it took."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        made = make()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return made, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+@pytest.mark.parametrize("loss", ["log", "square"])
+def test_more_rounds_take_no_more_jobs(spark, monkeypatch, loss):
+    x, y, w = sample(600, seed=3)
+    train = frame(spark, [(a.tolist(), float(b), float(c)) for a, b, c in zip(x, y, w)])
+    fitted = lambda rounds: boosting.fit(train, [0, 0, 4], loss, rounds=rounds, rate=0.3, leaves=8, min_leaf=4, held_share=0.2)
+    few, n_few = jobs_of(spark, f"few {loss}", lambda: fitted(1))
+    more, n_more = jobs_of(spark, f"more {loss}", lambda: fitted(5))
+    assert n_more == n_few and len(more.trees) > 1
+    # With a job for every pass, as on several hosts, the model is the same.
+    monkeypatch.setattr(boosting, "running_together", lambda spark: 0)
+    other = fitted(5)
+    assert np.allclose(other.history, more.history) and len(other.trees) == len(more.trees)
+    bins = more.binning.bins(x)
+    assert np.allclose(other.margins(bins), more.margins(bins), atol=1e-9)
+
+
+def test_slots_share_codes_without_mixing():
+    packed = boosting.Packed([256, 6, 8, 26, 13, 3])
+    assert sorted(s for g in packed.groups for s in g) == list(range(6)) and max(packed.cells) <= boosting.JOINT_CELLS
+    bins = np.random.default_rng(1).integers(0, [256, 6, 8, 26, 13, 3], (500, 6))
+    codes = packed.codes(bins)
+    for s in range(6):
+        assert (packed.bin_of[s][codes[packed.group_of[s]]] == bins[:, s]).all()
+    wide = boosting.Packed([5000])
+    assert wide.groups == [[0]] and wide.codes(np.array([[4999]]))[0][0] == 4999
