@@ -61,7 +61,7 @@ def run_analysis(
         state.update(model=model, scored=scored)
         held = scored.where("is_test")
         phi, _ = attribution.contributions(model, runs)
-        long = cut(attribution.long_contributions(model, runs, phi))
+        long = attribution.long_form(cut(attribution.with_values(model, runs, phi)))
         ranked = attribution.importance(long)
         state["importance"] = [r["feature"] for r in ranked.orderBy("rank").collect()]
         return {

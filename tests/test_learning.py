@@ -77,6 +77,33 @@ def test_shapley_values_against_all_coalitions():
     assert np.allclose(attribution.shapley(games, rows), want)
 
 
+def test_tabled_contributions_are_the_shapley_values(monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes = [9, 4, 30, 6]
+    games = []
+    for _ in range(60):
+        path = rng.choice(4, rng.integers(1, 5), replace=False).tolist()
+        games.append((float(rng.normal()), [(f, [("at", rng.random(sizes[f]) < 0.6)], float(rng.random())) for f in path]))
+    bins = np.stack([rng.integers(0, n, 700) for n in sizes], axis=1).astype(np.int16)
+    want = attribution.shapley(games, bins)
+    for cells in (1, 64, 4096):
+        monkeypatch.setattr(attribution, "TABLE_CELLS", cells)
+        groups = attribution.grouped(games, sizes)
+        assert [k for members, _ in groups for k in members] == list(range(60))
+        assert (len(groups) == 60) == (cells == 1)
+        assert np.allclose(attribution.explained(games, sizes, bins).T, want, atol=1e-12)
+
+
+def test_long_paths_and_small_blocks_add_up(corpus, model, monkeypatch):
+    risk, _ = model
+    monkeypatch.setattr(attribution, "MOST_SLOTS", 2)
+    monkeypatch.setattr(attribution, "BLOCK_ROWS", 100)
+    runs = corpus.limit(900)
+    phi, base = attribution.contributions(risk, runs)
+    gap = phi.join(risk.margin(runs), "run_id").select(F.abs(F.aggregate("phi", F.lit(0.0), lambda a, b: a + b) + base - F.col("margin")).alias("e"))
+    assert gap.count() == 900 and gap.agg(F.max("e")).first()[0] < 1e-9
+
+
 def test_planted_rules_are_found(corpus):
     support = {r["rule_id"]: r for r in rules.support(corpus, PLANTED).collect()}
     assert all(r["lift"] > 1.3 and r["rows_matched"] > 25 for r in support.values())
