@@ -162,3 +162,12 @@ def test_slots_share_codes_without_mixing():
         assert (packed.bin_of[s][codes[packed.group_of[s]]] == bins[:, s]).all()
     wide = boosting.Packed([5000])
     assert wide.groups == [[0]] and wide.codes(np.array([[4999]]))[0][0] == 4999
+
+
+def test_slots_that_part_rows_alike_are_taken_in_order():
+    table = np.array([[-5.0, 5, 50], [3.0, 5, 50], [0.0, 0, 0]])
+    near = table.copy()
+    near[0, 0] -= 1e-13  # the other slot gains more, by rounding alone
+    scheme = boosting.Binning([np.array([1.0, 2.0])] * 2, [0, 0])
+    tree = boosting.grown(lambda tree, leaves: {0: {0: table, 1: near}} if leaves == [0] else {}, scheme, [0, 1], 0.1, 4, 1)
+    assert tree.slot[0] == 0
